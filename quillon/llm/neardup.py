@@ -1,7 +1,8 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five consecutive words (runs of letters and digits in lower case), known by a 64-bit hash; a text of one to
-four words is one shingle. Its weight is its count in the text times its inverse document frequency. Document
+four words is one shingle. Its weight is its count in the text times its damped inverse document
+frequency. Document
 frequencies are counted over all documents in a table of `BUCKETS` counters by hash of the shingle; the mean load of a
 counter is taken off, so what is rarer than the table resolves counts as occurring once. The table has the same size
 whatever the input, and as both load and frequencies grow with the corpus, the weights don't change with its size.
@@ -37,6 +38,9 @@ from quillon.llm.common import bounded_batches, materialize
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
 #: Counters of document frequency; counters of one row when tables are summed; summing tasks.
 BUCKETS, BLOCK, SUM_TASKS = 1 << 20, 1 << 14, 16
+#: Share of the documents from which on down a shingle is rare, and how much more it then weighs than one in all of them.
+#: Undamped, a text's edits would outweigh what it shares with thousands of its near copies, and hide the likeness.
+RARE, DAMPING = 1e-4, 0.25
 #: Random values are read from tables of this many entries by two parts of a mixed hash.
 DRAWS = 1 << 12
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +104,10 @@ def frequencies(words: DataFrame) -> np.ndarray:
 
 
 def idf(table: np.ndarray, documents: int) -> np.ndarray:
-    """float32[BUCKETS]: inverse document frequency of the shingles in each bucket, from 1 upwards."""
+    """float32[BUCKETS]: damped inverse document frequency of the shingles in each bucket, 1 to 1 + DAMPING."""
     own = np.maximum(1.0, table - np.median(table)) if table.any() else np.ones(len(table))
-    floor = max(1.0, documents * 1e-4)  # rarer than this is rare
-    return (1.0 + np.log(np.maximum(1.0, documents / np.maximum(own, floor)))).astype(np.float32)
+    rarity = np.log(np.maximum(1.0, documents / np.maximum(own, max(1.0, documents * RARE)))) / -np.log(RARE)
+    return (1.0 + DAMPING * rarity).astype(np.float32)
 
 
 def weighted(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
