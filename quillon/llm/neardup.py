@@ -10,13 +10,15 @@ whatever the input, and as both load and frequencies grow with the corpus, the w
 Each distinct text is sampled `BANDS * ROWS` times by improved consistent weighted sampling (Ioffe 2010): for a shingle
 of weight w, with r and c from Gamma(2, 1) and beta uniform by its hash, t = floor(ln w / r + beta), y = exp(r (t -
 beta)), a = c / (y exp(r)); the sample is (shingle, t) with the least a. Two texts agree in a sample with the
-probability of their weighted Jaccard similarity. A band is a hash of ROWS samples.
+probability of their weighted Jaccard similarity. A band is a hash of ROWS samples; candidates are texts that share
+LEAST_BANDS bands or more (at a similarity of 0.8 all but about two in 10,000 do).
 
-Texts that share a band are verified by their exact weighted Jaccard similarity (from `threshold` on they are linked);
-classes are the connected components. In a first round every text of a bucket is verified against the bucket's first
-text, and connected. Then, in buckets that still hold texts of several components, the pairs across components are
-verified, too, if their total weights allow the threshold; pairs inside a component can't change a class. So the work is
-linear for a bucket of copies of any size, and no link across classes is lost among the texts that share a band.
+Candidates are verified by their exact weighted Jaccard similarity (from `threshold` on they are linked); classes are
+the connected components. In a first round every text of a band's bucket meets the bucket's first text. Then only pairs
+across components can change a class: they are formed in buckets where that takes at most PARTNERS pairs a text. The
+texts of other buckets (thousands that share a passage and nothing else) are dealt to buckets of two bands, then of
+three, by every further band, and what is left after that is formed whole. So the work is linear for a bucket of copies
+of any size, for a passage in any share of the documents, and no bucket is cut off.
 
 Equal texts are one text from the start. Null text counts as empty; texts without words are only equal to themselves.
 Rows that repeat an id belong to one document, whose class is the least that its texts have. Rows with a null id are
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, materialize
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 3
+#: Bands that candidates share; pairs a text that a bucket may form; bands of the deepest buckets.
+LEAST_BANDS, PARTNERS, DEEPEST = 2, 16, 3
 #: Counters of document frequency; counters of one row when tables are summed; summing tasks.
 BUCKETS, BLOCK, SUM_TASKS = 1 << 20, 1 << 14, 16
 #: Share of the documents from which on down a shingle is rare, and how much more it then weighs than one in all of them.
@@ -220,11 +224,12 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     table = materialize(signed(docs, weights), "signatures")
     reps = materialize(table.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")), "texts")
 
-    keyed = reps.select("rep", "total", F.posexplode("bands").alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min(F.struct("rep", "total")).alias("head"), F.max("rep").alias("last")).filter("head.rep < last").select(F.col("band").alias("_band"), F.col("key").alias("_key"), "head")
-    members = materialize(keyed.join(heads, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "rep", "total", "head"), "members")
-    fits = lambda x, y: F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)
-    first = members.filter((F.col("rep") > F.col("head.rep")) & fits(F.col("total"), F.col("head.total"))).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    keyed = reps.select("rep", "total", "bands", F.posexplode("bands").alias("at", "path"))
+    heads = keyed.groupBy("path").agg(F.min(F.struct("rep", "total", "bands")).alias("head"), F.max("rep").alias("last")).filter("head.rep < last").select(F.col("path").alias("_path"), "head")
+    members = materialize(keyed.join(heads, F.col("path") == F.col("_path")).select("path", "at", "rep", "total", "bands", "head"), "members")
+    may = lambda x, y, p, q: (F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)) & (F.size(F.array_intersect(p, q)) >= LEAST_BANDS)
+    first = members.filter((F.col("rep") > F.col("head.rep")) & may(F.col("total"), F.col("head.total"), F.col("bands"), F.col("head.bands")))
+    first = materialize(first.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
 
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     of_rep = materialize(reps.join(wanted, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "wanted")
@@ -233,12 +238,20 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     links = materialize(linked(first, texts, weights, threshold), "links")
     found = components(links)
 
-    named = members.join(found, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", "total", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("band").alias("_band"), F.col("key").alias("_key"))
-    left = materialize(named.join(mixed, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).select("band", "key", "rep", "total", "component"), "mixed")
-    right = left.select("band", "key", F.col("rep").alias("b"), F.col("total").alias("_total"), F.col("component").alias("_component"))
-    across = left.withColumnRenamed("rep", "a").join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & fits(F.col("total"), F.col("_total"))).select("a", "b").distinct()
-    across = across.join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    level = members.join(found, F.col("rep") == F.col("node"), "left").select("path", "at", "rep", "total", "bands", F.coalesce("component", "rep").alias("component"))
+    across = None
+    for depth in range(1, DEEPEST + 1):
+        sizes = level.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        sizes = sizes.select("_path", (F.lit(depth < DEEPEST) & (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n"))).alias("heavy"))
+        level = materialize(level.join(sizes, F.col("path") == F.col("_path")).drop("_path"), "level")
+        left = level.filter(~F.col("heavy")).select("path", F.col("rep").alias("a"), "total", "bands", "component")
+        right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("component").alias("_component"))
+        own = (F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands"))
+        got = left.join(right, "path").filter(own).select("a", "b")
+        across = got if across is None else across.union(got)
+        further = level.filter("heavy").select("path", "rep", "total", "bands", "component", F.posexplode("bands").alias("next", "more"), "at").filter(F.col("next") > F.col("at"))
+        level = further.select(F.xxhash64("path", "more").alias("path"), F.col("next").alias("at"), "rep", "total", "bands", "component")
+    across = across.distinct().join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     more = materialize(linked(across, texts, weights, threshold), "links")
     every = links.union(more)
     if more.limit(1).count():
