@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = materialize(warc.archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "warc")
-    return warc.records(images).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.records(images, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ Content-Length and verifies the block and payload digests; it raises ValueError
 
 Null html counts as empty. Of pages with equal payloads the one with the largest id is the response and the others
 revisit it (rows that repeat that id are all responses); smaller payloads than `least` bytes are always responses.
-Equality is that of SHA-1 and length. Null ids stand below all others. An empty table gives no records.
+Equality is that of SHA-1. Rows without an id are responses. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from quillon.llm.common import bounded_batches
 
 VERSION, LEVEL = b"WARC/1.1", 3
 #: Bytes of an archive image before a new one starts, and of input that the reader holds.
-ARCHIVE_BYTES, READ_BYTES = 4 << 20, 64 << 10
+ARCHIVE_BYTES, READ_BYTES = 1 << 20, 64 << 10
+#: Records and bytes of payload that the reader hands on at once.
+HAND_ROWS, HAND_BYTES = 200, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -108,11 +110,11 @@ def archives(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.mapInArrow(write, "warc binary")
 
 
-def records(images: DataFrame, column: str = "warc") -> DataFrame:
+def records(images: DataFrame, column: str = "warc", payloads: bool = True) -> DataFrame:
     """record_id, url, record_type, payload_digest, payload_bytes, refers_to, payload: all records of archive images.
 
     Works on the table of archives() or on spark.read.format("binaryFile") with column="content". A revisit's payload
-    is null; its length is that of the HTTP head it keeps.
+    is null; its length is that of the HTTP head it keeps. Without `payloads` all are null, verified nonetheless.
     """
     bounded_batches(images.sparkSession)
     name = lambda x: int(x[len("<urn:page:") : -1]) if x and x != "<urn:page:None>" else None
@@ -122,13 +124,14 @@ def records(images: DataFrame, column: str = "warc") -> DataFrame:
         names = ["record_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
         for batch in batches:
             for image in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for r in read(io.BytesIO(image.as_py())):
                     h, revisit = r["head"], r["head"]["warc-type"] == "revisit"
-                    rows.append((name(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(r["http"]["content-length"]) if revisit else len(r["payload"]), name(h.get("warc-refers-to")), None if revisit else r["payload"]))
-                    if len(rows) >= 200:
+                    rows.append((name(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(r["http"]["content-length"]) if revisit else len(r["payload"]), name(h.get("warc-refers-to")), r["payload"] if payloads and not revisit else None))
+                    size += len(r["payload"]) if payloads else 0
+                    if len(rows) >= HAND_ROWS or size >= HAND_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
