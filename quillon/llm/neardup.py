@@ -14,11 +14,13 @@ probability of their weighted Jaccard similarity. A band is a hash of ROWS sampl
 LEAST_BANDS bands or more (at a similarity of 0.8 all but about two in 10,000 do).
 
 Candidates are verified by their exact weighted Jaccard similarity (from `threshold` on they are linked); classes are
-the connected components. In a first round every text of a band's bucket meets the bucket's first text. Then only pairs
-across components can change a class: they are formed in buckets where that takes at most PARTNERS pairs a text. The
-texts of other buckets (thousands that share a passage and nothing else) are dealt to buckets of two bands, then of
-three, by every further band, and what is left after that is formed whole. So the work is linear for a bucket of copies
-of any size, for a passage in any share of the documents, and no bucket is cut off.
+the connected components. In a first round every text of a band's bucket meets the bucket's most central text (the one
+whose buckets are largest: in a group of near copies the least edited). Then only pairs across components can change a
+class. Buckets where these are at most PARTNERS a text form them. For the texts of the other buckets (edited copies by
+the thousands, or documents that share a passage and nothing else) the weight of shingles that no other of these texts
+has is counted exactly; it bounds the similarity of any of their pairs, and only pairs that the bound allows are formed
+and verified. So a bucket of copies of any size takes linear work but for texts that might be linked and aren't yet, and
+no bucket is cut off.
 
 Equal texts are one text from the start. Null text counts as empty; texts without words are only equal to themselves.
 Rows that repeat an id belong to one document, whose class is the least that its texts have. Rows with a null id are
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bounded_batches, materialize
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 16, 3
-#: Bands that candidates share; pairs a text that a bucket may form; bands of the deepest buckets.
-LEAST_BANDS, PARTNERS, DEEPEST = 2, 16, 3
+#: Bands that candidates share; pairs a text that a bucket may form without looking for unique shingles.
+LEAST_BANDS, PARTNERS = 2, 16
 #: Counters of document frequency; counters of one row when tables are summed; summing tasks.
 BUCKETS, BLOCK, SUM_TASKS = 1 << 20, 1 << 14, 16
 #: Share of the documents from which on down a shingle is rare, and how much more it then weighs than one in all of them.
@@ -200,6 +202,21 @@ def linked(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: f
     return both.select("a", "b", word_hashes(F.col("_a")), word_hashes(F.col("_b"))).mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def unique_weight(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """rep, own: the weight of the shingles that no other of these texts has."""
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, words in zip(batch.column(0), lists(batch.column(1))):
+                h, w = weighted(words, weights)
+                yield pa.RecordBatch.from_arrays([pa.array([rep.as_py()] * len(h), batch.schema.field(0).type), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["rep", "s", "w"])
+
+    said = texts.select("rep", word_hashes(F.col("text"))).mapInArrow(run, f"rep {kind}, s long, w double")
+    own = said.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), F.min("w").alias("w")).filter("n = 1")
+    return own.groupBy("rep").agg(F.sum("w").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for each node of the edges (a, b): least labels spread, and labels of labels."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -224,12 +241,16 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     table = materialize(signed(docs, weights), "signatures")
     reps = materialize(table.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")), "texts")
 
-    keyed = reps.select("rep", "total", "bands", F.posexplode("bands").alias("at", "path"))
-    heads = keyed.groupBy("path").agg(F.min(F.struct("rep", "total", "bands")).alias("head"), F.max("rep").alias("last")).filter("head.rep < last").select(F.col("path").alias("_path"), "head")
-    members = materialize(keyed.join(heads, F.col("path") == F.col("_path")).select("path", "at", "rep", "total", "bands", "head"), "members")
+    keyed = reps.select("rep", "total", "bands", F.explode("bands").alias("path"))
+    sizes = keyed.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("path", "_path")
+    shared = materialize(keyed.join(sizes, F.col("path") == F.col("_path")).select("path", "rep", "total", "bands", "_n"), "shared")
+    central = shared.groupBy(F.col("rep").alias("_rep")).agg(F.sum("_n").alias("central"))
+    ranked = shared.join(central, F.col("rep") == F.col("_rep")).select("path", "rep", "total", "bands", "central")
+    heads = ranked.groupBy(F.col("path").alias("_path")).agg(F.min(F.struct((-F.col("central")).alias("central"), "rep", "total", "bands")).alias("head"))
+    members = materialize(shared.join(heads, F.col("path") == F.col("_path")).select("path", "rep", "total", "bands", "head"), "members")
     may = lambda x, y, p, q: (F.least(x, y) >= (threshold - 1e-9) * F.greatest(x, y)) & (F.size(F.array_intersect(p, q)) >= LEAST_BANDS)
-    first = members.filter((F.col("rep") > F.col("head.rep")) & may(F.col("total"), F.col("head.total"), F.col("bands"), F.col("head.bands")))
-    first = materialize(first.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    first = members.filter((F.col("rep") != F.col("head.rep")) & may(F.col("total"), F.col("head.total"), F.col("bands"), F.col("head.bands")))
+    first = materialize(first.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct(), "pairs")
 
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     of_rep = materialize(reps.join(wanted, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "wanted")
@@ -238,19 +259,17 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     links = materialize(linked(first, texts, weights, threshold), "links")
     found = components(links)
 
-    level = members.join(found, F.col("rep") == F.col("node"), "left").select("path", "at", "rep", "total", "bands", F.coalesce("component", "rep").alias("component"))
-    across = None
-    for depth in range(1, DEEPEST + 1):
-        sizes = level.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        sizes = sizes.select("_path", (F.lit(depth < DEEPEST) & (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n"))).alias("heavy"))
-        level = materialize(level.join(sizes, F.col("path") == F.col("_path")).drop("_path"), "level")
-        left = level.filter(~F.col("heavy")).select("path", F.col("rep").alias("a"), "total", "bands", "component")
-        right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("component").alias("_component"))
-        own = (F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands"))
-        got = left.join(right, "path").filter(own).select("a", "b")
-        across = got if across is None else across.union(got)
-        further = level.filter("heavy").select("path", "rep", "total", "bands", "component", F.posexplode("bands").alias("next", "more"), "at").filter(F.col("next") > F.col("at"))
-        level = further.select(F.xxhash64("path", "more").alias("path"), F.col("next").alias("at"), "rep", "total", "bands", "component")
+    named = members.join(found, F.col("rep") == F.col("node"), "left").select("path", "rep", "total", "bands", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = mixed.select("_path", (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n")).alias("heavy"))
+    level = materialize(named.join(mixed, F.col("path") == F.col("_path")).drop("_path"), "mixed")
+    alone = materialize(unique_weight(texts.join(level.filter("heavy").select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi"), weights), "unique")
+    level = level.join(alone.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left").select("path", "rep", "total", "bands", "component", F.when(F.col("heavy"), F.coalesce("own", F.lit(0.0))).otherwise(0.0).alias("own"))
+    left = level.filter(F.col("total") - F.col("own") >= (threshold - 1e-6) * F.col("total")).withColumnRenamed("rep", "a")
+    right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("component").alias("_component"), F.col("own").alias("_own"))
+    both = F.least(F.col("total") - F.col("own"), F.col("_total") - F.col("_own"))
+    bound = both >= (threshold - 1e-6) * (F.col("total") + F.col("_total") - both)
+    across = left.join(right, "path").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & bound & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands"))).select("a", "b")
     across = across.distinct().join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     more = materialize(linked(across, texts, weights, threshold), "links")
     every = links.union(more)
