@@ -18,8 +18,8 @@ the connected components. In a first round every text of a band's bucket meets t
 whose buckets are largest: in a group of near copies the least edited). Then only pairs across components can change a
 class. Buckets where these are at most PARTNERS a text form them. For the texts of the other buckets (edited copies by
 the thousands, or documents that share a passage and nothing else) the weight of shingles that no other of these texts
-has is counted exactly; it bounds the similarity of any of their pairs, and only pairs that the bound allows are formed
-and verified. So a bucket of copies of any size takes linear work but for texts that might be linked and aren't yet, and
+has is counted exactly; it bounds the similarity of any of their pairs, as do the distances of both to the central text,
+and only pairs that the bounds allow are formed and verified. So a bucket of copies of any size takes linear work but for texts that might be linked and aren't yet, and
 no bucket is cut off.
 
 Equal texts are one text from the start. Null text counts as empty; texts without words are only equal to themselves.
@@ -188,7 +188,7 @@ def signed(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """The pairs (a, b) at `threshold` or more, with their similarity; texts: rep, text."""
+    """The pairs (a, b) of a similarity of `threshold` or more, with it; texts: rep, text."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,25 +254,31 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
 
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
     of_rep = materialize(reps.join(wanted, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "wanted")
-    met = docs.join(of_rep, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    met = docs.join(of_rep.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     texts = materialize(met.select("rep", "text").dropDuplicates(["rep"]), "candidates")
-    links = materialize(linked(first, texts, weights, threshold), "links")
+    judged = materialize(linked(first, texts, weights, 0.0), "links")
+    links = judged.filter(F.col("similarity") >= threshold)
     found = components(links)
 
-    named = members.join(found, F.col("rep") == F.col("node"), "left").select("path", "rep", "total", "bands", F.coalesce("component", "rep").alias("component"))
+    known = judged.withColumnRenamed("similarity", "_similarity")
+    to_head = members.withColumns({"_x": F.least("head.rep", "rep"), "_y": F.greatest("head.rep", "rep")}).join(known, (F.col("_x") == F.col("a")) & (F.col("_y") == F.col("b")), "left")
+    to_head = to_head.select("path", "rep", "total", "bands", F.when(F.col("rep") == F.col("head.rep"), 1.0).otherwise(F.col("_similarity")).alias("near"))
+    named = to_head.join(found, F.col("rep") == F.col("node"), "left").select("path", "rep", "total", "bands", "near", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     mixed = mixed.select("_path", (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n")).alias("heavy"))
     level = materialize(named.join(mixed, F.col("path") == F.col("_path")).drop("_path"), "mixed")
     alone = materialize(unique_weight(texts.join(level.filter("heavy").select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi"), weights), "unique")
-    level = level.join(alone.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left").select("path", "rep", "total", "bands", "component", F.when(F.col("heavy"), F.coalesce("own", F.lit(0.0))).otherwise(0.0).alias("own"))
+    level = level.join(alone.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left").select("path", "rep", "total", "bands", "near", "component", F.when(F.col("heavy"), F.coalesce("own", F.lit(0.0))).otherwise(0.0).alias("own"))
     left = level.filter(F.col("total") - F.col("own") >= (threshold - 1e-6) * F.col("total")).withColumnRenamed("rep", "a")
-    right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("component").alias("_component"), F.col("own").alias("_own"))
+    right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("near").alias("_near"), F.col("component").alias("_component"), F.col("own").alias("_own"))
     both = F.least(F.col("total") - F.col("own"), F.col("_total") - F.col("_own"))
     bound = both >= (threshold - 1e-6) * (F.col("total") + F.col("_total") - both)
-    across = left.join(right, "path").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & bound & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands"))).select("a", "b")
+    bound &= F.coalesce(F.abs(F.col("near") - F.col("_near")) <= 1 - threshold + 1e-6, F.lit(True))  # the distance 1 - J is a metric
+    once = F.get(F.array_intersect("bands", "_bands"), F.lit(0)) == F.col("path")  # in the first bucket that both are in
+    across = left.join(right, "path").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & bound & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands")) & once).select("a", "b")
     across = across.distinct().join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     more = materialize(linked(across, texts, weights, threshold), "links")
-    every = links.union(more)
+    every = links.select("a", "b").union(more.select("a", "b"))
     if more.limit(1).count():
         found = components(every)
 
