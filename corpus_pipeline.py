@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, linededup, neardup, packing, secrets
-from quillon.llm.common import documents, materialize
+from quillon.llm.common import documents, fresh, materialize
 from quillon.llm.queries import TOKENIZER
 
 #: A document of any of the languages scores more; with L languages, 1 / L is chance.
@@ -32,12 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup(docs).drop("_cut_lines")
+    return linededup.dedup(docs)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = neardup.classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,8 +41,11 @@ class BiGru:
         self.p = {f"{n}{d}": x for d in "fb" for n, x in (("E", draw(256, 3 * hidden)), ("U", draw(hidden, 3 * hidden)), ("c", np.zeros(hidden, np.float32)))}
         self.p |= {"W": draw(2 * hidden, k), "b": np.zeros(k, np.float32)}
 
-    def states(self, x: np.ndarray, d: str, keep: bool = False):
-        """x: (steps, rows) bytes in reading order. States (steps, rows, hidden) after each byte, and what training needs."""
+    def states(self, x: np.ndarray, d: str, keep: bool = False, real: np.ndarray | None = None):
+        """x: (steps, rows) bytes in reading order. States (steps, rows, hidden) after each byte, and what training needs.
+
+        Where `real` (steps, rows) is false there is no byte, and the state stays at its start.
+        """
         H, (T, B) = self.hidden, x.shape
         E, U, c = self.p[f"E{d}"], self.p[f"U{d}"], self.p[f"c{d}"]
         half = np.concatenate([np.full(2 * H, 0.5, np.float32), np.ones(H, np.float32)])
@@ -67,6 +70,8 @@ class BiGru:
             h = h - n
             h *= z
             h += n  # n + z (h - n)
+            if real is not None:
+                h *= real[t][:, None]
             out[t] = h
         return (out, kept) if keep else out
 
@@ -90,10 +95,10 @@ class BiGru:
         np.add.at(dE, x.ravel(), every.reshape(-1, 3 * H))
         return {f"E{d}": dE, f"U{d}": dU, f"c{d}": dc}
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
+    def positions(self, x: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
         """(steps, rows, languages): the probabilities at every position of windows x (steps, rows)."""
         both = self.states(x, "f") @ self.p["W"][: self.hidden]
-        both += self.states(x[::-1], "b")[::-1] @ self.p["W"][self.hidden :]
+        both += self.states(x[::-1], "b", real=None if real is None else real[::-1])[::-1] @ self.p["W"][self.hidden :]
         both += self.p["b"]
         np.exp(both, out=both)
         both /= both.sum(2, keepdims=True)
@@ -143,9 +148,10 @@ class BiGru:
         for a in range(0, len(order), SIDE):
             rows = order[a : a + SIDE]
             n = int(filled[rows[-1]])
-            p = self.positions(np.ascontiguousarray(windows[rows, :n].T))
-            if filled[rows[0]] < n:
-                p *= (np.arange(n)[:, None] < filled[rows][None, :])[:, :, None]
+            real = None if filled[rows[0]] == n else np.arange(n)[:, None] < filled[rows][None, :]
+            p = self.positions(np.ascontiguousarray(windows[rows, :n].T), real)
+            if real is not None:
+                p *= real[:, :, None]
             total[rows] = p.sum(0)
         return np.add.reduceat(total, starts[:-1], axis=0) / sizes[:, None]
 

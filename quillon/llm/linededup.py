@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, materialize
+from quillon.llm.common import bounded_batches, fresh, materialize
 
 LEAST_WORDS, BLOCK_WORDS = 4, 5
 
@@ -89,6 +89,7 @@ def cuts(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK
     doc = F.struct("doc_id", "th")
     said = lines.select(doc.alias("d"), F.explode(F.arrays_zip("h", "w")).alias("x")).filter(F.col("x.w") >= least_words).select("d", F.col("x.h").alias("h"))
     shared = said.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("h").alias("of"), "first")
+    shared = materialize(shared, "shared")  # read back, so that a join on it can split the lines that many documents have
     met = said.join(shared, F.col("h") == F.col("of")).filter("first < d").select("d", "first").distinct()
     a = unique.select(doc.alias("first"), F.col("h").alias("source"))
     b = unique.select(doc.alias("d"), "h", "w")
@@ -105,12 +106,13 @@ def cuts(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK
     return ranges.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 
-def dedup(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The table with the shared blocks cut from `text`, and _cut_lines: how many lines went."""
-    cut = cuts(df, least_words, block_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges"))
-    got = df.join(cut, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
-    keep = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("_ranges", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    got = got.withColumn("_new", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
-    lost = F.when(F.col("_ranges").isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(keep))
-    names = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast(df.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in df.columns]
-    return got.select(*names, lost.alias("_cut_lines"))
+def dedup(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS, report: str | None = None) -> DataFrame:
+    """The table with the shared blocks cut from `text`; `report` names a new column for how many lines went."""
+    i, th, r, new = (fresh(df, c) for c in ("_id", "_th", "_ranges", "_new"))
+    cut = cuts(df, least_words, block_words).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("ranges").alias(r))
+    got = df.join(cut, (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(th)), "left")
+    keep = F.filter(F.split("text", "\n"), lambda x, k: ~F.exists(r, lambda y: (y["a"] <= k) & (k <= y["b"])))
+    got = got.withColumn(new, F.when(F.col(r).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
+    lost = F.when(F.col(r).isNull(), 0).otherwise(F.size(F.split("text", "\n")) - F.size(keep)).cast("long")
+    names = [F.col(new).alias("text") if c == "text" else F.length(new).cast(df.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in df.columns]
+    return got.select(*names, *([lost.alias(report)] if report else []))

@@ -43,13 +43,6 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(windows)
 
 
-def covered(windows: Column) -> Column:
-    """Positions that the repeated windows cover, from the windows' hashes."""
-    at = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.transform(at, lambda x, k: F.when((F.get(at, k - 1)["h"] == x["h"]) | (F.get(at, k + 1)["h"] == x["h"]), x["i"]))
-    return F.sort_array(F.filter(twice, lambda i: i.isNotNull()))
-
-
 def figures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -22,12 +22,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.dedup(documents(spark, sf_dir))
-    return done.select("doc_id", "text", "n_chars", F.col("_cut_lines").cast("long").alias("cut_lines"))
+    return linededup.dedup(documents(spark, sf_dir), report="cut_lines").select("doc_id", "text", "n_chars", "cut_lines")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = materialize(warc.archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "warc")
+    images = materialize(warc.archives(spark.read.parquet(f"{sf_dir}/pages.parquet")), "warc", **warc.STORED)
     return warc.records(images, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

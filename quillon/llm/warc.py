@@ -26,7 +26,9 @@ from quillon.llm.common import bounded_batches
 
 VERSION, LEVEL = b"WARC/1.1", 3
 #: Bytes of an archive image before a new one starts, and of input that the reader holds.
-ARCHIVE_BYTES, READ_BYTES = 1 << 20, 64 << 10
+ARCHIVE_BYTES, READ_BYTES = 256 << 10, 64 << 10
+#: How a table of images is best written: they are compressed already, and a Parquet page holds few of them.
+STORED = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "10"}
 #: Records and bytes of payload that the reader hands on at once.
 HAND_ROWS, HAND_BYTES = 200, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
