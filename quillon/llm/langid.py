@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches
+from quillon.llm.common import bounded_batches, fresh
 
 #: States of each direction; bytes of a window when scoring; bytes and windows a language when training; steps.
 HIDDEN, SPAN, TRAIN_SPAN, SAMPLE, STEPS, BATCH = 8, 128, 64, 4000, 1200, 192
@@ -239,4 +239,4 @@ def known(df: DataFrame, model: BiGru | None, least: float, text_col: str = "tex
             keep = pa.array((lang != UNKNOWN) & (score >= least), pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[: len(names)]], names)
 
-    return df.select(*[F.col(f"`{c}`") for c in names], said(text_col).alias("_said")).mapInArrow(run, df.schema)
+    return df.select(*[F.col(f"`{c}`") for c in names], said(text_col).alias(fresh(df, "_said"))).mapInArrow(run, df.schema)
