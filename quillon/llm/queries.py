@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -93,5 +94,30 @@ FROM m
 """
 
 
+def _op4_sql() -> str:
+    """The base figures, and the exact binomial test of each (stratum, figure, cutoff), in DuckDB SQL."""
+    grid, cells = quality.GRID, sum(map(len, quality.GRID.values()))
+    least = math.ceil(math.log(quality.DELTA) / math.log1p(-quality.ALPHA / len(grid)))
+    cutoffs = ", ".join(f"('{f}', {c!r}::DOUBLE)" for f, cs in grid.items() for c in cs)
+    share = quality.ALPHA / len(grid)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+p AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM p),
+r AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY rid),
+f AS (SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_rate, CASE WHEN n_words > 0 THEN n_dup_lines / n_words ELSE 0.0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_rate, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word FROM f),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0),
+h AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+c(figure, cutoff) AS (VALUES {cutoffs}),
+t AS (SELECT lang, figure, cutoff, count(*) AS n, count(*) FILTER (WHERE CASE figure WHEN 'symbol_rate' THEN symbol_rate WHEN 'dup_line_rate' THEN dup_line_rate WHEN 'repeat_rate' THEN repeat_rate ELSE mean_word END > cutoff) AS k FROM h, c GROUP BY ALL HAVING count(*) >= {least}),
+s AS (SELECT count(DISTINCT lang) AS strata FROM t),
+ok AS (SELECT lang, figure, min(cutoff) AS cutoff FROM t, s WHERE k < n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}::DOUBLE) + (n - i) * ln(1 - {share!r}::DOUBLE)))) <= {quality.DELTA!r}::DOUBLE / (strata * {cells}) GROUP BY lang, figure)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.lang = m.lang AND ok.cutoff < CASE ok.figure WHEN 'symbol_rate' THEN m.symbol_rate WHEN 'dup_line_rate' THEN m.dup_line_rate WHEN 'repeat_rate' THEN m.repeat_rate ELSE m.mean_word END) AS kept
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op4_quality": _op4_sql()}
