@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch at most, so that a Python worker's memory stays bounded.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: The folder that this package is imported from.
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +34,10 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit what one Arrow batch carries to a Python worker, in rows and in bytes."""
+    """Limit what one Arrow batch carries to a Python worker, in rows and in bytes; let workers import this package."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), ROOT]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
