@@ -1,8 +1,7 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five consecutive words (runs of letters and digits in lower case), known by a 64-bit hash; a text of one to
-four words is one shingle. Its weight is its count in the text times its damped inverse document
-frequency. Document
+four words is one shingle. Its weight is its count in the text times its damped inverse document frequency. Document
 frequencies are counted over all documents in a table of `BUCKETS` counters by hash of the shingle; the mean load of a
 counter is taken off, so what is rarer than the table resolves counts as occurring once. The table has the same size
 whatever the input, and as both load and frequencies grow with the corpus, the weights don't change with its size.
@@ -16,11 +15,12 @@ LEAST_BANDS bands or more (at a similarity of 0.8 all but about two in 10,000 do
 Candidates are verified by their exact weighted Jaccard similarity (from `threshold` on they are linked); classes are
 the connected components. In a first round every text of a band's bucket meets the bucket's most central text (the one
 whose buckets are largest: in a group of near copies the least edited). Then only pairs across components can change a
-class. Buckets where these are at most PARTNERS a text form them. For the texts of the other buckets (edited copies by
-the thousands, or documents that share a passage and nothing else) the weight of shingles that no other of these texts
-has is counted exactly; it bounds the similarity of any of their pairs, as do the distances of both to the central text,
-and only pairs that the bounds allow are formed and verified. So a bucket of copies of any size takes linear work but for texts that might be linked and aren't yet, and
-no bucket is cut off.
+class, and the largest component of a bucket is never joined with itself: a bucket of copies with one stranger costs a
+pair a copy. Buckets where the pairs across are at most PARTNERS a text form them. For the texts of the other buckets
+(edited copies by the thousands, or documents that share a passage and nothing else) the weight of shingles that no
+other of these texts has is counted exactly; it bounds the similarity of any of their pairs, as do the distances of both
+to the central text, and only pairs that the bounds allow are verified. So a bucket of copies of any size takes linear
+work but for texts that might be linked and aren't yet, and no bucket is cut off.
 
 Equal texts are one text from the start. Null text counts as empty; texts without words are only equal to themselves.
 Rows that repeat an id belong to one document, whose class is the least that its texts have. Rows with a null id are
@@ -264,18 +264,20 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     to_head = members.withColumns({"_x": F.least("head.rep", "rep"), "_y": F.greatest("head.rep", "rep")}).join(known, (F.col("_x") == F.col("a")) & (F.col("_y") == F.col("b")), "left")
     to_head = to_head.select("path", "rep", "total", "bands", F.when(F.col("rep") == F.col("head.rep"), 1.0).otherwise(F.col("_similarity")).alias("near"))
     named = to_head.join(found, F.col("rep") == F.col("node"), "left").select("path", "rep", "total", "bands", "near", F.coalesce("component", "rep").alias("component"))
-    mixed = named.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = mixed.select("_path", (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n")).alias("heavy"))
+    parts = named.groupBy("path", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(F.col("path").alias("_path")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")).filter("parts > 1")
+    mixed = mixed.select("_path", "main", (F.col("n") * F.col("n") - F.col("squares") > 2 * PARTNERS * F.col("n")).alias("heavy"))
     level = materialize(named.join(mixed, F.col("path") == F.col("_path")).drop("_path"), "mixed")
     alone = materialize(unique_weight(texts.join(level.filter("heavy").select(F.col("rep").alias("_rep")).distinct(), F.col("rep") == F.col("_rep"), "left_semi"), weights), "unique")
-    level = level.join(alone.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left").select("path", "rep", "total", "bands", "near", "component", F.when(F.col("heavy"), F.coalesce("own", F.lit(0.0))).otherwise(0.0).alias("own"))
+    level = level.join(alone.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep"), "left").select("path", "rep", "total", "bands", "near", "component", (F.col("component") != F.col("main")).alias("minor"), F.when(F.col("heavy"), F.coalesce("own", F.lit(0.0))).otherwise(0.0).alias("own"))
     left = level.filter(F.col("total") - F.col("own") >= (threshold - 1e-6) * F.col("total")).withColumnRenamed("rep", "a")
-    right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("near").alias("_near"), F.col("component").alias("_component"), F.col("own").alias("_own"))
+    right = left.select("path", F.col("a").alias("b"), F.col("total").alias("_total"), F.col("bands").alias("_bands"), F.col("near").alias("_near"), F.col("component").alias("_component"), F.col("own").alias("_own"), F.col("minor").alias("_minor"))
     both = F.least(F.col("total") - F.col("own"), F.col("_total") - F.col("_own"))
     bound = both >= (threshold - 1e-6) * (F.col("total") + F.col("_total") - both)
     bound &= F.coalesce(F.abs(F.col("near") - F.col("_near")) <= 1 - threshold + 1e-6, F.lit(True))  # the distance 1 - J is a metric
     once = F.get(F.array_intersect("bands", "_bands"), F.lit(0)) == F.col("path")  # in the first bucket that both are in
-    across = left.join(right, "path").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("_component")) & bound & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands")) & once).select("a", "b")
+    # The bucket's largest component never meets itself, so the join forms at most four pairs for each one across components.
+    across = left.filter("minor").join(right, "path").filter((~F.col("_minor") | (F.col("a") < F.col("b"))) & (F.col("component") != F.col("_component")) & bound & may(F.col("total"), F.col("_total"), F.col("bands"), F.col("_bands")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = across.distinct().join(first.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
     more = materialize(linked(across, texts, weights, threshold), "links")
     every = links.select("a", "b").union(more.select("a", "b"))
