@@ -6,7 +6,7 @@ backpropagation through time (Adam, cross-entropy at every position) on windows
 scored: they are cut into windows of `SPAN` bytes, each read from both ends, so that work is linear and memory bounded.
 
 Training reads at most `SAMPLE` windows of a language, drawn by a hash of the id from all labelled rows that `learn`
-allows; what is not drawn doesn't matter for anything else. The same rows give the same model.
+allows, and learns the `MOST_LANGUAGES` most frequent languages; what is not drawn doesn't matter for anything else. The same rows give the same model.
 
 Null text and text without a letter are `und` with score 0. With one language learned, all other text is that language;
 with none, everything is `und` with score 0. Repeated rows get repeated results. An empty table gives no rows.

@@ -2,12 +2,12 @@
 
 The tree's nodes are split at the weighted median (by bytes) of the node's widest dimension, until leaves have the
 target size. Dimensions are mapped to [0, 2^20) in order; a row's key in a dimension is that level followed by a hash of
-the text and one of the id, so that equal texts lie together and ties can be split anywhere. A median is found by
+the text and one of the id, so that equal texts lie side by side among equal levels and ties can be split anywhere. A median is found by
 histograms of a fixed number of bins per node, refined until the bin holding it is negligible; only these bins reach the
 driver.
 
-Law `bytes`: leaves differ by little more than the largest documents. Groups (equal texts) stay together unless a
-median falls among them. Null text has size 1; null metadata is the lowest value. Repeated rows lie in the same shard.
+Law `bytes`: leaves differ by little more than the largest documents. Groups (equal texts) are not kept together where
+their language, source or id falls on different sides of a median. Null text has size 1; null metadata is the lowest value. Repeated rows lie in the same shard.
 An empty table gives no rows.
 """
 
