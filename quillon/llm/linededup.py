@@ -1,15 +1,20 @@
 """Line dedup: later documents lose the blocks of lines that they share, in order, with an earlier document.
 
-Overlapping documents are found through shared line hashes. Lines of fewer than `least_words` words say nothing and are
-not looked up. Each line that is shared leads from every later document to the first document that has it, so a line
-that a third of all documents hold gives one pair for each of them and never all pairs. Each pair is aligned by patience
-diff on line hashes (lines unique in both, longest increasing subsequence, recursion between the anchors, equal lines at
-the ends of what is left); aligned runs of at least `block_words` words are cut from the later document.
+A block is a run of consecutive lines with at least `block_words` words that any earlier document has as a run, too; all
+its lines are cut. Every such run is covered by its windows: the shortest runs of enough words that start at a line, and
+those that end at one. Words follow from the lines, so both documents have the same windows in the run. Windows are
+looked up by hash among all documents and the least document that has one decides, so that all earlier documents count
+and no pair of documents is ever formed: a window that a third of all documents hold gives one row for each of them.
+patience() and blocks() align a single pair of documents; what they find in any pair is cut.
+
+Words are separated by white space; in scripts that are written without it (Han, kana, Thai, Lao, Khmer, Burmese,
+Tibetan) each character counts as one. Lines without words have none, but belong to the runs that they stand in.
 
 "Later" is the larger doc_id (ties by a hash of the text). Lines are compared without white space at their ends. Null
-texts and empty texts stay as they are; a document that is a copy as a whole becomes empty and stays as a row. Rows that
-repeat a document (id and text) are edited alike and not against each other; lines that repeat inside a document stay.
-Rows without id stay as they are. An empty table stays empty. Other columns pass through; n_chars follows if it is there.
+texts and empty texts stay as they are; a document that is a copy as a whole becomes empty and stays as a row (if it has
+`block_words` words). Rows that repeat a document (id and text) are edited alike and not against each other; lines that
+repeat inside a document stay unless an earlier one has them. Rows without id stay as they are. An empty table stays
+empty. Other columns pass through; n_chars follows if it is there.
 """
 
 from __future__ import annotations
@@ -24,7 +29,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import bounded_batches, fresh, materialize
 
-LEAST_WORDS, BLOCK_WORDS = 4, 5
+BLOCK_WORDS = 5
+#: A character of a script that puts no space between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+#: Hashes of runs are differences of prefix hashes modulo a prime.
+PRIME, FACTOR = (1 << 89) - 1, 0x1D8AF066E5C1F2A7B39D51
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -79,37 +88,75 @@ def blocks(source: list[int], later: list[int], words: list[int], block_words: i
     return [(a, b) for a, b, _ in runs if sum(words[a : b + 1]) >= block_words]
 
 
-def cuts(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def windows(h: list[int], w: list[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
+    """(hash, first, last) of the shortest runs of `block_words` words from each line on and up to each line."""
+    n, prefix, power, said = len(h), [0], [1], [0]
+    for x, k in zip(h, w):
+        prefix.append((prefix[-1] * FACTOR + x % PRIME) % PRIME)
+        power.append(power[-1] * FACTOR % PRIME)
+        said.append(said[-1] + k)
+    runs, b = [], 0
+    for a in range(n):
+        while b < n and said[b + 1] - said[a] < block_words:
+            b += 1
+        if b == n:
+            break
+        runs.append((a, b))
+    a = 0
+    for b in range(n):
+        if said[b + 1] - said[0] < block_words:
+            continue
+        while said[b + 1] - said[a + 1] >= block_words:
+            a += 1
+        runs.append((a, b))
+    return [((prefix[b + 1] - prefix[a] * power[b + 1 - a]) % PRIME & (1 << 63) - 1, a, b) for a, b in sorted(set(runs))]
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same lines in as few runs as there can be."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def cuts(df: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), ranges array<struct<a, b>>: the runs of lines to cut, for documents that lose any."""
     bounded_batches(df.sparkSession)
-    line = F.split("text", "\n")
-    own = df.filter("doc_id is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("th"), F.transform(line, lambda x: F.xxhash64(F.regexp_replace(x, r"^\s+|\s+$", ""))).alias("h"), F.transform(line, lambda x: F.when(x.rlike(r"\S"), F.size(F.split(F.trim(x), r"\s+"))).otherwise(0)).alias("w"))
-    lines = materialize(own, "lines")
-    unique = lines.dropDuplicates(["doc_id", "th"])
-    doc = F.struct("doc_id", "th")
-    said = lines.select(doc.alias("d"), F.explode(F.arrays_zip("h", "w")).alias("x")).filter(F.col("x.w") >= least_words).select("d", F.col("x.h").alias("h"))
-    shared = said.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("h").alias("of"), "first")
-    shared = materialize(shared, "shared")  # read back, so that a join on it can split the lines that many documents have
-    met = said.join(shared, F.col("h") == F.col("of")).filter("first < d").select("d", "first").distinct()
-    a = unique.select(doc.alias("first"), F.col("h").alias("source"))
-    b = unique.select(doc.alias("d"), "h", "w")
-    both = met.join(b, "d").join(a, "first").select("d.doc_id", "d.th", "source", "h", "w")
+    line = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    apart = lambda x: F.when(F.octet_length(x) > F.length(x), F.trim(F.regexp_replace(x, UNSPACED, " x "))).otherwise(x)
+    own = df.filter("doc_id is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("th"), line.alias("line"))
+    own = own.select("doc_id", "th", F.transform("line", lambda x: F.xxhash64(x)).alias("h"), F.transform("line", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(apart(x), r"\s+")))).alias("w"))
     kind = df.schema["doc_id"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    window_type = pa.list_(pa.struct([("s", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"s": s, "a": a, "b": b} for s, a, b in windows(h, w, block_words)] for h, w in zip(batch.column("h").to_pylist(), batch.column("w").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found, window_type)], ["doc_id", "th", "windows"])
+
+    said = materialize(own.mapInArrow(find, f"doc_id {kind}, th long, windows array<struct<s:bigint,a:int,b:int>>"), "windows")
+    said = said.select(F.struct("doc_id", "th").alias("d"), F.explode("windows").alias("x")).select("d", "x.s", "x.a", "x.b")
+    shared = said.groupBy("s").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("s").alias("of"), "first")
+    shared = materialize(shared, "shared")  # read back, so that a join on it can split the windows that many documents have
+    held = said.join(shared, F.col("s") == F.col("of")).filter("first < d").select("d.doc_id", "d.th", F.struct("a", "b").alias("x"))
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"a": x, "b": y} for x, y in blocks(s, h, w, block_words)] for s, h, w in zip(*(batch.column(c).to_pylist() for c in ("source", "h", "w")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(found, run_type)], ["doc_id", "th", "ranges"])
+            runs = [[{"a": a, "b": b} for a, b in united([(x["a"], x["b"]) for x in r])] for r in batch.column("ranges").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(runs, run_type)], ["doc_id", "th", "ranges"])
 
-    ranges = both.mapInArrow(align, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>").filter(F.size("ranges") > 0)
-    return ranges.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    return held.groupBy("doc_id", "th").agg(F.collect_set("x").alias("ranges")).mapInArrow(unite, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>")
 
 
-def dedup(df: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS, report: str | None = None) -> DataFrame:
+def dedup(df: DataFrame, block_words: int = BLOCK_WORDS, report: str | None = None) -> DataFrame:
     """The table with the shared blocks cut from `text`; `report` names a new column for how many lines went."""
     i, th, r, new = (fresh(df, c) for c in ("_id", "_th", "_ranges", "_new"))
-    cut = cuts(df, least_words, block_words).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("ranges").alias(r))
+    cut = cuts(df, block_words).select(F.col("doc_id").alias(i), F.col("th").alias(th), F.col("ranges").alias(r))
     got = df.join(cut, (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(th)), "left")
     keep = F.filter(F.split("text", "\n"), lambda x, k: ~F.exists(r, lambda y: (y["a"] <= k) & (k <= y["b"])))
     got = got.withColumn(new, F.when(F.col(r).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))

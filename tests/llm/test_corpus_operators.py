@@ -41,6 +41,42 @@ def test_a_line_in_every_document_makes_no_pairs_of_all(make):
     assert got[0] == texts[0] and all(hot not in got[i] for i in range(1, 300))
 
 
+def plain_cut(texts):
+    """The lines of each text that lie in a run of 5 words or more which any earlier text has as a run."""
+    lines = [[x.strip() for x in t.split("\n")] for t in texts]
+    runs = [{tuple(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1)} for x in lines]
+    out = []
+    for d, x in enumerate(lines):
+        spans = [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if sum(len(s.split()) for s in x[a:b]) >= 5 and any(tuple(x[a:b]) in r for r in runs[:d])]
+        out.append({k for a, b in spans for k in range(a, b)})
+    return out
+
+
+def test_line_dedup_against_all_earlier_documents(make):
+    """Blocks whose lines come first in other documents or in another order, short lines, repeats, scripts without spaces."""
+    x, y, z = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    p, q = prose(1, 9), prose(2, 9, "v")
+    verse = "\n".join(f"{w}a {w}b" for w in "rstu")
+    texts = [f"{x}\n{p}", f"{y}\n{q}", f"{x}\n{y}", f"start\n{x}\n{y}\nend", f"{q}\n{p}\n{z}", f"{p}\n{q}\nmore", verse, f"own\n{verse}\nrest", f"{z}\n\nand\n{z}\n\nand", f"{p}\nfirst\n{p}\nlast", f"  {z}\n\nand\t", f"  {z}\n\n\tand  "]
+    rng = np.random.default_rng(4)
+    pieces = ["", "a", "b c", "d e f", "g h i j", "k l m n o", "p q"]
+    texts += ["\n".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 9))) or "-" for _ in range(40)]
+    want = plain_cut(texts)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(make(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "\n".join(s for k, s in enumerate(t.split("\n")) if k not in want[i]), i
+        for j in range(i):  # what an alignment with any earlier document finds is cut
+            for a, b in linededup.blocks(texts[j].split("\n"), t.split("\n"), [len(s.split()) for s in t.split("\n")]):
+                assert set(range(a, b + 1)) <= want[i] or texts[j].startswith("  ")
+    assert got[3] == "start\nend" and got[5] == "more" and got[7] == "own\nrest"
+
+
+def test_line_dedup_counts_characters_of_scripts_without_spaces(make):
+    texts = ["上善若水\n水善利万物", "另\n上善若水\n水善利万物", "ภาษาไทยง่าย", "ก\nภาษาไทยง่าย", "道可\n非", "道可\n非"]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(make(texts)).collect()}
+    assert got[1] == "另" and got[3] == "ก" and got[5] == texts[5]
+
+
 def plain_figures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
