@@ -6,12 +6,12 @@ the last returns packed pieces. run() writes every stage as Parquet in the share
 - language_id: learns from the stage's own labelled rows and drops documents without a letter (`und`) and those whose
   language it can't tell at all (score below LEAST_SCORE).
 - line_dedup: cuts blocks of lines that an earlier document has; a document that is a copy as a whole becomes empty.
-- near_dup: keeps the least doc_id of each class of near-equal texts, the empty texts being one class.
+- near_dup: keeps the text of the least doc_id in each class of near-equal texts, the empty texts being one class.
 - secret_scan: replaces secrets by a mark.
 - packing: pieces of at most 1024 tokens in sequences.
 
-Null texts: dropped by language_id; later stages take them as empty. Rows that repeat an id are kept or dropped
-together by near_dup. Extra columns pass through to the last stage. An empty table stays empty.
+Null texts: dropped by language_id; later stages take them as empty. Rows that repeat an id are judged by
+their texts in near_dup, and kept or dropped together where those are equal. Extra columns pass through to the last stage. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    name = fresh(docs, "_gone")
-    gone = neardup.classes(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    name, text = fresh(docs, "_gone"), fresh(docs, "_gone_text")
+    gone = neardup.spare(docs).select(F.col("doc_id").alias(name), F.col("h").alias(text))
+    return docs.join(gone, (F.col("doc_id") == F.col(name)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text)), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ to the central text, and only pairs that the bounds allow are verified. So a buc
 work but for texts that might be linked and aren't yet, and no bucket is cut off.
 
 Equal texts are one text from the start. Null text counts as empty; texts without words are only equal to themselves.
-Rows that repeat an id belong to one document, whose class is the least that its texts have. Rows with a null id are
-left out. An empty table gives no rows.
+Texts are told apart by their hashes, never by an id alone. Rows that repeat an id belong to one document, which joins
+the classes of all its texts; spare() judges each text of such an id by itself. Rows with a null id are left out. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -208,9 +209,9 @@ def unique_weight(texts: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, words in zip(batch.column(0), lists(batch.column(1))):
+            for k, words in enumerate(lists(batch.column(1))):
                 h, w = weighted(words, weights)
-                yield pa.RecordBatch.from_arrays([pa.array([rep.as_py()] * len(h), batch.schema.field(0).type), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["rep", "s", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), k))), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], ["rep", "s", "w"])
 
     said = texts.select("rep", word_hashes(F.col("text"))).mapInArrow(run, f"rep {kind}, s long, w double")
     own = said.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), F.min("w").alias("w")).filter("n = 1")
@@ -231,15 +232,15 @@ def components(edges: DataFrame) -> DataFrame:
         now = after.select("node", "component")
 
 
-def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of the class), n_links (verified links of the document's text), a row per document."""
+def text_classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text), component (struct<id, h1, h2>: the least text of its class, by its least id), n_links; a row per row."""
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
     n = docs.count()
     weights = idf(frequencies(docs.select(word_hashes(F.col("text")).alias("words"))), n)
     table = materialize(signed(docs, weights), "signatures")
-    reps = materialize(table.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")), "texts")
+    reps = materialize(table.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("total").alias("total"), F.first("bands").alias("bands")).select(F.struct("id", "h1", "h2").alias("rep"), "total", "bands"), "texts")
 
     keyed = reps.select("rep", "total", "bands", F.explode("bands").alias("path"))
     sizes = keyed.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumnRenamed("path", "_path")
@@ -253,8 +254,8 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     first = materialize(first.select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b")).distinct(), "pairs")
 
     wanted = members.select(F.col("rep").alias("_rep")).distinct()
-    of_rep = materialize(reps.join(wanted, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "wanted")
-    met = docs.join(of_rep.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    of_rep = materialize(reps.join(wanted, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("rep.id").alias("_id"), F.col("rep.h1").alias("_h1"), F.col("rep.h2").alias("_h2")), "wanted")
+    met = docs.join(of_rep.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
     texts = materialize(met.select("rep", "text").dropDuplicates(["rep"]), "candidates")
     judged = materialize(linked(first, texts, weights, 0.0), "links")
     links = judged.filter(F.col("similarity") >= threshold)
@@ -285,7 +286,25 @@ def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
         found = components(every)
 
     degree = every.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n_links"))
-    done = reps.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("r"), "left")
-    done = done.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = table.select("doc_id", "h1", "h2").join(done, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "class_id", "n_links")
-    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    done = reps.select("rep").join(found, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("r"), "left")
+    done = done.select(F.col("rep.h1").alias("_h1"), F.col("rep.h2").alias("_h2"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return table.select("doc_id", "h1", "h2").join(done, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "h1", "h2", "component", "n_links")
+
+
+def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the least id of the class), n_links (verified links of the document's text), a row per document."""
+    rows = materialize(text_classes(df, threshold, id_col, text_col), "classes")
+    ids = rows.groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("n_links").alias("n_links"))
+    several = materialize(ids.filter("least <> most").select(F.col("doc_id").alias("_id"), "least"), "several")
+    if not several.limit(1).count():
+        return ids.select("doc_id", F.col("least.id").alias("class_id"), "n_links")
+    joined = components(rows.join(several, F.col("doc_id") == F.col("_id")).filter("component <> least").select(F.col("least").alias("a"), F.col("component").alias("b")))
+    ids = ids.withColumnRenamed("least", "of").join(joined, F.col("of") == F.col("node"), "left")
+    return ids.select("doc_id", F.coalesce("component", "of")["id"].alias("class_id"), "n_links")
+
+
+def spare(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h (first hash of the text): the rows whose class of texts has another one that stays, the least by its least id."""
+    rows = text_classes(df, threshold, id_col, text_col)
+    stays = (F.col("doc_id") == F.col("component.id")) & (F.col("h1") == F.col("component.h1")) & (F.col("h2") == F.col("component.h2"))
+    return rows.filter(~stays).select("doc_id", F.col("h1").alias("h")).distinct()
