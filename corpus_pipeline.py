@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept
 the last returns packed pieces. run() writes every stage as Parquet in the shared folder and reads it again.
 
 - language_id: learns from the stage's own labelled rows and drops documents without a letter (`und`) and those whose
-  language it can't tell at all (score below LEAST_SCORE).
+  language it can't tell at all (score below LEAST_SCORE). Where no row to learn from has a label, only those without a
+  letter go.
 - line_dedup: cuts blocks of lines that an earlier document has; a document that is a copy as a whole becomes empty.
 - near_dup: keeps the text of the least doc_id in each class of near-equal texts, the empty texts being one class.
 - secret_scan: replaces secrets by a mark.

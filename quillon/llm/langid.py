@@ -229,14 +229,20 @@ def predict(df: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col
 
 
 def known(df: DataFrame, model: BiGru | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose text has a language with a score of at least `least`; all columns as they were."""
+    """The rows of `df` whose text has a language with a score of at least `least`; all columns as they were.
+
+    Without a model nothing can be said against a language: every text with a letter stays.
+    """
     bounded_batches(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = judge(model, batch.column(len(names)).to_pylist())
-            keep = pa.array((lang != UNKNOWN) & (score >= least), pa.bool_())
+            if model:
+                lang, score = judge(model, batch.column(len(names)).to_pylist())
+                keep = pa.array((lang != UNKNOWN) & (score >= least), pa.bool_())
+            else:
+                keep = batch.column(len(names)).is_valid()
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[: len(names)]], names)
 
     return df.select(*[F.col(f"`{c}`") for c in names], said(text_col).alias(fresh(df, "_said"))).mapInArrow(run, df.schema)

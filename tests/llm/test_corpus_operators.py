@@ -246,6 +246,12 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows} <= ids and max(r["offset"] + r["length"] for r in rows) <= 1024
 
 
+def test_language_stage_without_labels(spark, make):
+    docs = make(ODD + [prose(1, 60)]).withColumn("lang", F.lit(None).cast("string"))
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).select("doc_id").collect()}
+    assert got == {i for i, t in enumerate(ODD + [prose(1, 60)]) if t and any(c.isalpha() for c in t)} and len(got) > 5
+
+
 def test_pipeline_on_odd_rows(spark, make):
     docs = make(ODD + [prose(i, 60) for i in range(10)], _gone=F.lit(1), _said=F.lit(2))
     for name, stage in corpus_pipeline.STAGES[1:4]:
