@@ -2,8 +2,8 @@
 
 A text's words are runs of letters and digits in lower case. A word is an anchor if it is a common word or has at most
 two letters; the others are content words. Each content word directly after an anchor starts a chain of `CHAIN` content
-words (fewer at the end of the text); the signature is a hash of the anchor and the chain. A text without anchors has a
-chain at every word, so that it can be compared at all. The fingerprint is the set of signatures; the likeness of two
+words (fewer at the end of the text); the signature is a hash of the anchor and the chain. A text where no content word follows
+an anchor has a chain at every word, so that it can be compared at all. The fingerprint is the set of signatures; the likeness of two
 texts is the Jaccard similarity of their sets, 1 if both are empty.
 
 For near pairs, documents are partitioned by the size of their set: a pair at similarity t has sizes within the factor
@@ -37,11 +37,11 @@ def fingerprints(df: DataFrame, column: str, out: str, chain: int = CHAIN) -> Da
     df = df.withColumn("_w", words)
     df = df.withColumn("_p", F.filter(F.transform("_w", lambda w, i: F.when(~common(w), i)), lambda i: i.isNotNull()))
     w, p = F.col("_w"), F.col("_p")
-    none = (F.size(p) == F.size(w)) | (F.size(p) == 0)  # no anchors, or nothing else
     chained = F.transform(p, lambda i, j: F.when(i - F.coalesce(F.get(p, j - 1), F.lit(-1)) > 1, F.hash(F.get(w, i - 1), *[F.get(w, F.get(p, j + k)) for k in range(chain)])))
     plain = F.transform(w, lambda x, i: F.hash(*[F.get(w, i + k) for k in range(chain)]))
-    sets = F.sort_array(F.array_distinct(F.filter(F.when(none, plain).otherwise(chained), lambda x: x.isNotNull())))
-    return df.withColumn(out, sets).drop("_w", "_p")
+    df = df.withColumn("_c", F.filter(chained, lambda x: x.isNotNull()))
+    sets = F.sort_array(F.array_distinct(F.when(F.size("_c") == 0, plain).otherwise(F.col("_c"))))
+    return df.withColumn(out, sets).drop("_w", "_p", "_c")
 
 
 def shown(sets: Column) -> Column:

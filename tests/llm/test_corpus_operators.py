@@ -218,6 +218,14 @@ def test_spotsigs(make):
     assert one[0]["next_text"] == "alone"
 
 
+def test_spotsigs_of_texts_with_anchors_at_the_end_only(make):
+    texts = ["Chapter 3", "Version 10", "Eser thed nt of.", "", " .", "the of", "alone"]
+    sets = {r["doc_id"]: tuple(r["sets"]) for r in spotsigs.fingerprints(make(texts), "text", "sets").collect()}
+    assert [len(sets[i]) for i in range(len(texts))] == [2, 2, 4, 0, 0, 2, 1] and len(set(sets.values())) == 6
+    reps = {r["doc_id"]: r["representative"] for r in spotsigs.near_pairs(make(texts))[1].collect()}
+    assert reps == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 def test_spotsigs_pairs(make):
     base = " ".join(f"the {x} of {y} word{i}" for i, (x, y) in enumerate(zip(prose(1, 60).split(), prose(2, 60, "v").split())))
     texts = [base, base, base + " end", prose(3, 50), base.replace("w", "u"), ""]
