@@ -1,9 +1,13 @@
 """Secret scan: fixed base patterns, and literals found by assignment-aware lexing.
 
-Lines with an assignment sign are lexed into name-literal pairs (source code and configuration: `=`, `:`, `:=`, `=>`;
-quoted strings, bare values, concatenations). A name that was given a literal before stands for that literal later on
-in the same text, so a constant that reaches a sensitive name through other names is found where it was written. A
-literal's score is the weight of its target name times how random it looks; scores from `threshold` on become spans of
+Assignments are lexed into name-literal pairs (source code and configuration: `=`, `:`, `:=`, `=>`; quoted strings, also
+of three quotes, bare values, concatenations and adjacent strings). A value goes on over line ends inside parentheses,
+brackets and calls, after `+` or a backslash, as a string on the next line, and as a block scalar (`|`, `>`) of deeper
+lines; the items of a list and the arguments of a call count one by one, what is looked up by name (`getenv("X")`) not
+at all. The body of a PEM private key belongs to its label. A name that was given a literal before, also as $NAME,
+${NAME} or inside a string with double quotes, stands for that literal later on in the same text, so a constant that
+reaches a sensitive name through other names is found where it was written. Values are known by their parts and counts
+of characters, so that constants of any length can be built without being written out. A literal's score is the weight of its target name times how random it looks; scores from `threshold` on become spans of
 kind `named` unless a base span holds them already. Base spans always stay.
 
 Null text counts as empty and has no spans. Positions are code points, the end is exclusive.
@@ -35,10 +39,19 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined
 #: Score from which a literal counts, and the shortest literal.
 THRESHOLD, SHORTEST = 0.45, 6
 TOKEN = re.compile(
-    r"""(?P<comment>(?:\#|//).*)|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`)|(?P<op>:=|=>|==|!=|<=|>=|->|=|:|\+|[,;(){}\[\]])|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<bare>[^\s"'`,;(){}\[\]=:+\#]+)""",
+    r"""(?P<end>\n)|(?P<comment>(?:\#|//).*)|(?P<string>\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|(?P<op>:=|=>|==|!=|<=|>=|->|=|:|\+|[,;(){}\[\]])|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*)|(?P<bare>[^\s"'`,;(){}\[\]=:+\#]+)""",
     re.A,
 )
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]#]+")
+REFERENCE, REFERRING = re.compile(r"\$(?:\{(\w+)\}|(\w+))", re.A), re.compile(r"[^\s\"'`,;()\[\]#]+")
+SIGN, INDENT = re.compile(r"[ \t]*(?::=|=>|=(?!=)|:)"), re.compile(r"[ -]*")
+#: What follows the sign of a block scalar, and a private key in armour.
+SCALAR = re.compile(r"[ \t]*[|>][+-]?\d?[+-]?[ \t]*(?:#.*)?\n")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?s:.*?))-----END \1-----")
+#: Calls whose argument is a name, and not the value.
+LOOKUP = re.compile(r"(?i)(?:getenv|environ|env|get|getproperty|lookup|input|getpass|prompt|open)$")
+#: Characters at both ends of a value that are kept as they are.
+ENDS = 64
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -48,47 +61,162 @@ def weight(name: str) -> float:
     return max([SENSITIVE.get(w, 0.0) for w in [*words, *map("".join, zip(words, words[1:]))]], default=0.0)
 
 
-def randomness(value: str) -> float:
+class Value:
+    """A literal, or several one after the other: counts of characters, both ends, and the parts that spans come from."""
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None, parts: list["Value"] | None = None):
+        self.parts, self.span = parts or [], span
+        self.counts, self.size = Counter(text), len(text) + sum(p.size for p in self.parts)
+        for p in self.parts:
+            self.counts.update(p.counts)
+        self.head = (text + "".join(p.head for p in self.parts))[:ENDS] if len(self.parts) < 2 else self.joined(self.parts)
+        self.tail = text[-ENDS:] if not self.parts else self.joined(self.parts[::-1], tail=True)
+
+    @staticmethod
+    def joined(parts: list["Value"], tail: bool = False) -> str:
+        out = ""
+        for p in parts:
+            out = (p.tail + out)[-ENDS:] if tail else (out + p.head)[:ENDS]
+            if len(out) == ENDS:
+                break
+        return out
+
+    def spans(self) -> set[tuple[int, int]]:
+        out, seen, todo = set(), set(), [self]
+        while todo:
+            v = todo.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                out |= {v.span} if v.span else set()
+                todo += v.parts
+        return out
+
+    def shown(self) -> str:
+        """The text, or its ends and each character of the middle once: the same to PLACEHOLDER."""
+        if self.size <= ENDS:
+            return self.head
+        if self.size <= 2 * ENDS:
+            return self.head + self.tail[2 * ENDS - self.size :]
+        return self.head + "".join(self.counts - Counter(self.head) - Counter(self.tail)) + self.tail
+
+
+def randomness(value: Value) -> float:
     """0 to 1: entropy of the characters and the classes they come from."""
-    n = len(value)
-    if n < SHORTEST or PLACEHOLDER.match(value) or " " in value.strip() and n < 12:
+    n, shown = value.size, value.shown()
+    if n < SHORTEST or PLACEHOLDER.match(shown) or " " in shown.strip() and n < 12:
         return 0.0
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z\d\s]"))
+    bits = -sum(k / n * math.log2(k / n) for k in value.counts.values())
+    kinds = "".join(value.counts)
+    classes = sum(bool(re.search(p, kinds)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z\d\s]"))
     return min(1.0, bits / 4) * (0.4 + 0.2 * classes if classes < 4 else 1.0)
 
 
-def pairs(line: str, at: int, known: dict[str, tuple[str, list[tuple[int, int]]]]) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, resolved value, spans of its literals) for each assignment of a line that starts at `at`."""
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in TOKEN.finditer(line)]
-    i = 0
-    while i + 1 < len(tokens):
-        kind, text, _, _ = tokens[i]
-        sign = tokens[i + 1]
-        if kind not in ("name", "string") or sign[1] not in ("=", ":", ":=", "=>"):
-            i += 1
-            continue
-        name, j, value, spans = text.strip("\"'`"), i + 2, "", []
-        while j < len(tokens):
-            k, t, a, b = tokens[j]
-            if k == "string":
-                value, spans = value + t[1:-1], [*spans, (at + a + 1, at + b - 1)]
-            elif k == "name" and t in known:
-                value, spans = value + known[t][0], [*spans, *known[t][1]]
-            elif k in ("name", "bare") and not value and (m := BARE.match(line, a)):
-                value, spans = m.group(), [(at + m.start(), at + m.end())]
-                while j + 1 < len(tokens) and tokens[j + 1][2] < m.end():
-                    j += 1
-            else:
+def resolved(text: str, at: int, known: dict[str, Value]) -> Value:
+    """The literal `text` that starts at `at`, with the constants that it refers to by $NAME or ${NAME}."""
+    parts, last = [], 0
+    for m in REFERENCE.finditer(text) if "$" in text else ():
+        if (v := known.get(m[1] or m[2])) is not None:
+            parts += [Value(text[last : m.start()], (at + last, at + m.start()))] * (m.start() > last) + [v]
+            last = m.end()
+    if not parts:
+        return Value(text, (at, at + len(text)))
+    return Value(parts=parts + [Value(text[last:], (at + last, at + len(text)))] * (last < len(text)))
+
+
+def block(text: str, start: int, at: int) -> Value | None:
+    """The lines from `at` on that are deeper than the line at `start`, or empty."""
+    depth, parts = INDENT.match(text, start).end() - start, []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            deep = len(line) - len(line.lstrip())
+            if deep <= depth:
                 break
-            j += 1
-            if j < len(tokens) and tokens[j][1] == "+":
-                j += 1
-            else:
+            parts.append(Value(line.strip(), (at + deep, at + len(line.rstrip()))))
+        at = end + 1
+    return Value(parts=parts) if parts else None
+
+
+def values(text: str, line: int, at: int, known: dict[str, Value]) -> tuple[list[Value], int]:
+    """(values after the sign that ends at `at`, in the line that starts at `line`; where they end)."""
+    if m := SCALAR.match(text, at):
+        return [v] if (v := block(text, line, m.end())) else [], m.end()
+    found, parts, depth, more, fresh_line, last = [], [], 0, False, False, at
+    skip = []  # depths of calls that look something up by a name
+    while m := TOKEN.search(text, at):
+        kind, t, a, b = m.lastgroup, m.group(), m.start(), m.end()
+        at = b
+        if kind == "end":
+            if depth == 0 and not more and (parts or found or fresh_line and text[last:a].strip()):
+                break
+            fresh_line = True
+            continue
+        if kind == "comment":
+            continue
+        if depth == 0 and fresh_line and not more and kind != "string":
+            break
+        if depth and kind in ("name", "string") and SIGN.match(text, b):
+            break  # an argument or key with a value of its own
+        if kind == "string":
+            k = 3 if len(t) >= 6 and t[:3] in ('"""', "'''") else 1
+            if depth == 0 and fresh_line and not more and SIGN.match(text, b):
+                break  # a name of its own
+            if not skip:
+                parts.append(Value(t[k:-k], (a + k, b - k)) if t[0] == "'" else resolved(t[k:-k], a + k, known))
+            more = False
+        elif t in ("(", "["):
+            depth, more = depth + 1, False
+        elif t in (")", "]"):
+            if not depth:
                 break
-        if spans:
-            yield name, value, spans
-        i = max(i + 1, j) if spans and j < len(tokens) and tokens[j][1] not in ("=", ":", ":=", "=>") else i + 1
+            depth -= 1
+            while skip and skip[-1] > depth:
+                skip.pop()
+        elif t == "," and depth:
+            found += [Value(parts=parts)] if parts else []
+            parts = []
+        elif t == "+":
+            more = True
+        elif kind == "bare" and t == "\\" and text[b : b + 1] == "\n":
+            more = True
+        elif kind == "name" and text[b : b + 1] == "(" and not (parts and not more and not depth):
+            if LOOKUP.search(t):
+                skip.append(depth + 1)
+            more = False
+        elif kind == "name" and (v := known.get(t.lstrip("$"))) is not None and text[b : b + 1] not in ("$", "{") and (depth or not parts or more):
+            parts += [] if skip else [v]
+            more = False
+        elif kind in ("name", "bare") and depth == 0 and not parts and (m := (REFERRING if t[0] == "$" else BARE).match(text, a)):
+            parts.append(resolved(m.group(), a, known))
+            at = last = m.end()
+            n = TOKEN.search(text, at)
+            if n and n.group() == "+":
+                continue
+            break
+        elif depth == 0 or t in ("{", "}", ";"):
+            break
+        last = b
+    else:
+        at = len(text)
+    return found + ([Value(parts=parts)] if parts else []), last
+
+
+def pairs(text: str, at: int, end: int, known: dict[str, Value]) -> Iterator[tuple[str, Value]]:
+    """(name, value) for each assignment whose sign is in the line from `at` to `end`."""
+    line, before = at, None
+    while (m := TOKEN.search(text, at, end)) and m.lastgroup != "end":
+        kind, t = m.lastgroup, m.group()
+        at = m.end()
+        if t in ("=", ":", ":=", "=>") and before:
+            found, stop = values(text, line, at, known)
+            for v in found:
+                yield before, v
+            if found and stop <= end and not SIGN.match(text, stop):
+                at, before = max(at, stop), None
+                continue
+        before = t.strip("\"'`") if kind in ("name", "string") else None
 
 
 def base(text: str) -> list[tuple[int, int, int, float]]:
@@ -101,21 +229,29 @@ def base(text: str) -> list[tuple[int, int, int, float]]:
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int, float]]:
     """All spans of a text by start, then kind."""
     found = base(text)
+    named: dict[tuple[int, int], float] = {}
+    held = [(a, b) for _, a, b, _ in found]
+
+    def judge(name: str, value: Value) -> None:
+        if (w := weight(name)) >= threshold and (score := w * randomness(value)) >= threshold:
+            for a, b in value.spans():
+                if b > a and not any(x <= a and b <= y for x, y in held):
+                    named[a, b] = max(score, named.get((a, b), 0.0))
+
     if "=" in text or ":" in text:
-        known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-        held, at, named = [(a, b) for _, a, b, _ in found], 0, {}
+        known: dict[str, Value] = {}
+        at = 0
         for line in text.split("\n"):
             if "=" in line or ":" in line:
-                for name, value, spans in pairs(line, at, known):
-                    score = weight(name) * randomness(value)
-                    if score >= threshold:
-                        for a, b in spans:
-                            if b > a and not any(x <= a and b <= y for x, y in held):
-                                named[a, b] = max(score, named.get((a, b), 0.0))
-                    if value:
-                        known[name] = (value[:4096], spans[:64])
+                for name, value in pairs(text, at, at + len(line), known):
+                    judge(name, value)
+                    if value.size:
+                        known[name.lstrip("$")] = value
             at += len(line) + 1
-        found += [(3, a, b, s) for (a, b), s in named.items()]
+    for m in PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        lines = [Value(x.group(), x.span()) for x in re.compile(r"\S+").finditer(text, m.start(2), m.end(2))]
+        judge(m[1], Value(parts=lines))
+    found += [(3, a, b, s) for (a, b), s in named.items()]
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 

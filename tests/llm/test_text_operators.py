@@ -40,6 +40,27 @@ def test_secrets_base_stays_and_method_adds(make):
     assert named[7] == named[8] == named[9] == []
 
 
+def test_secrets_over_lines_and_through_references():
+    k, h = "q8Zx7-Lp2!vR9", "Wm4#tY6@nB1"
+    cases = {
+        f"password = (\n  '{k}'\n  '{h}'\n)": [k, h],
+        f'{{"db_password":\n  "{k}"}}': [k],
+        f'auth_secret = """{k}\n{h}"""': [f"{k}\n{h}"],
+        f"private_key: |\n  {k}\n  {h}\nnext: one": [k, h],
+        f"PART='{k}'\nDB_PWD=$PART": [k],
+        f"PART='{k}'\nDB_PWD=\"${{PART}}{h}\"": [k, h],
+        f"db_pwd = ['{k}',\n '{h}']": [k, h],
+        f"db_pwd = decode('{k}')": [k],
+        f"-----BEGIN RSA PRIVATE KEY-----\n{k}{h}aB\n{h}{k}\n-----END RSA PRIVATE KEY-----": [f"{k}{h}aB", f"{h}{k}"],
+        f"a = '{k}'\n" + "a = a + a\n" * 200 + "pwd = a": [k],
+        "\n".join(f"p{i} = 'Zq{i}!x'" for i in range(99)) + "\npwd = " + " + ".join(f"p{i}" for i in range(99)): [f"Zq{i}!x" for i in range(99)],
+        'db_pwd = os.getenv("DB_PWD_Main_01")\nvalue = 1': [],
+        "pwd: see\nother: thing": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for kind, a, b, _ in secrets.scan_text(text) if kind == 3] == want, text[:80]
+
+
 def test_secrets_query_digest(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark, SF).collect()}
     for r in queries.op1_secrets(spark, SF).collect():
