@@ -233,7 +233,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def text_classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), component (struct<id, h1, h2>: the least text of its class, by its least id), n_links; a row per row."""
+    """doc_id, h1, h2 (hashes of the text), component (struct<id, h1, h2>: the least text of its class, by its least id), n_spanning_links; a row per row."""
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
@@ -285,22 +285,22 @@ def text_classes(df: DataFrame, threshold: float, id_col: str, text_col: str) ->
     if more.limit(1).count():
         found = components(every)
 
-    degree = every.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = every.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n_spanning_links"))
     done = reps.select("rep").join(found, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("r"), "left")
-    done = done.select(F.col("rep.h1").alias("_h1"), F.col("rep.h2").alias("_h2"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return table.select("doc_id", "h1", "h2").join(done, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "h1", "h2", "component", "n_links")
+    done = done.select(F.col("rep.h1").alias("_h1"), F.col("rep.h2").alias("_h2"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_spanning_links", F.lit(0)).cast("long").alias("n_spanning_links"))
+    return table.select("doc_id", "h1", "h2").join(done, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("doc_id", "h1", "h2", "component", "n_spanning_links")
 
 
 def classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of the class), n_links (verified links of the document's text), a row per document."""
+    """doc_id, class_id (the least id of the class), n_spanning_links (the links of its text that were verified, enough to span the class and not all), a row per document."""
     rows = materialize(text_classes(df, threshold, id_col, text_col), "classes")
-    ids = rows.groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("n_links").alias("n_links"))
+    ids = rows.groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("n_spanning_links").alias("n_spanning_links"))
     several = materialize(ids.filter("least <> most").select(F.col("doc_id").alias("_id"), "least"), "several")
     if not several.limit(1).count():
-        return ids.select("doc_id", F.col("least.id").alias("class_id"), "n_links")
+        return ids.select("doc_id", F.col("least.id").alias("class_id"), "n_spanning_links")
     joined = components(rows.join(several, F.col("doc_id") == F.col("_id")).filter("component <> least").select(F.col("least").alias("a"), F.col("component").alias("b")))
     ids = ids.withColumnRenamed("least", "of").join(joined, F.col("of") == F.col("node"), "left")
-    return ids.select("doc_id", F.coalesce("component", "of")["id"].alias("class_id"), "n_links")
+    return ids.select("doc_id", F.coalesce("component", "of")["id"].alias("class_id"), "n_spanning_links")
 
 
 def spare(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
