@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillon.llm import bpe, langid, linededup, neardup, packing, quality, secrets, sharding, spotsigs, warc
 from quillon.llm.common import documents, materialize
 
+#: Risk of quality_loose.
+LOOSE = {"alpha": 0.25, "delta": 0.2}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -31,12 +33,20 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(images, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_verdicts(spark: SparkSession, sf_dir: str, **risk: float) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     measured = materialize(quality.figures(docs.select("doc_id", "text", "lang")).drop("text"), "figures")
-    cutoffs = quality.rules(measured, labels)
-    kept = ~F.col("base_failed") & quality.verdict(cutoffs)
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    rows = quality.judged(measured, quality.rules(measured, labels, **risk))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(spark, sf_dir)
+
+
+def quality_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op4, with a risk that small holdouts can certify in several strata."""
+    return quality_verdicts(spark, sf_dir, **LOOSE)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secrets, op2_line_dedup, op3_warc, op4_quality, op5_near_dup, op6_bpe, op7_sharding, op8_spotsigs, op9_packing, op10_langid, pipeline]
+    own = [op1_secrets, op2_line_dedup, op3_warc, op4_quality, op5_near_dup, op6_bpe, op7_sharding, op8_spotsigs, op9_packing, op10_langid, pipeline, quality_loose]
     return {f.__name__: f for f in own}
 
 
@@ -94,30 +104,47 @@ FROM m
 """
 
 
-def _op4_sql() -> str:
-    """The base figures, and the exact binomial test of each (stratum, figure, cutoff), in DuckDB SQL."""
-    grid, cells = quality.GRID, sum(map(len, quality.GRID.values()))
-    least = math.ceil(math.log(quality.DELTA) / math.log1p(-quality.ALPHA / len(grid)))
-    cutoffs = ", ".join(f"('{f}', {c!r}::DOUBLE)" for f, cs in grid.items() for c in cs)
-    share = quality.ALPHA / len(grid)
+def quality_sql(alpha: float = quality.ALPHA, delta: float = quality.DELTA) -> str:
+    """The base figures, and the tests of the cutoffs one after the other, in DuckDB SQL."""
+    grid, order = quality.GRID, quality.steps(quality.GRID)
+    names = list(grid)
+    rate = {"symbol_rate": ("n_symbols", "word_chars"), "dup_line_rate": ("n_dup_lines", "n_words"), "repeat_rate": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words")}
+    rates = ", ".join(f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END AS {f}" for f, (a, b) in rate.items())
+    over = ", ".join(f"len(list_filter({[*cutoffs]!r}::DOUBLE[], lambda c: {f} > c)) AS p{i}" for i, (f, cutoffs) in enumerate(grid.items()))
+    cells = ", ".join(f"p{i}" for i in range(len(grid)))
+    least = math.ceil(math.log(delta / 2) / math.log1p(-alpha))
+    tests = ", ".join(f"({t}, {names.index(f)}, {j})" for t, (f, j) in enumerate(order, 1))
+    level = [f"{x!r}::DOUBLE / strata" for x in quality.levels(grid, delta, 1)]
+    trial = ", ".join(f"CASE WHEN figure = {i} THEN j ELSE a{i} END AS b{i}" for i in range(len(grid)))
+    wrong = " OR ".join(f"c.p{i} > b{i}" for i in range(len(grid)))
+    kept = " AND ".join(f"coalesce(m.{f} <= ({[*c]!r}::DOUBLE[])[ok.a{i} + 1], true)" for i, (f, c) in enumerate(grid.items()))
+    after = ", ".join(f"CASE WHEN passed THEN b{i} ELSE a{i} END" for i in range(len(grid)))
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 p AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i], words[i + 1], words[i + 2]) AS n FROM p),
 r AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY rid),
 f AS (SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
-m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_rate, CASE WHEN n_words > 0 THEN n_dup_lines / n_words ELSE 0.0 END AS dup_line_rate, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_rate, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word FROM f),
+m AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, {rates} FROM f),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0),
-h AS (SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-c(figure, cutoff) AS (VALUES {cutoffs}),
-t AS (SELECT lang, figure, cutoff, count(*) AS n, count(*) FILTER (WHERE CASE figure WHEN 'symbol_rate' THEN symbol_rate WHEN 'dup_line_rate' THEN dup_line_rate WHEN 'repeat_rate' THEN repeat_rate ELSE mean_word END > cutoff) AS k FROM h, c GROUP BY ALL HAVING count(*) >= {least}),
-s AS (SELECT count(DISTINCT lang) AS strata FROM t),
-ok AS (SELECT lang, figure, min(cutoff) AS cutoff FROM t, s WHERE k < n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}::DOUBLE) + (n - i) * ln(1 - {share!r}::DOUBLE)))) <= {quality.DELTA!r}::DOUBLE / (strata * {cells}) GROUP BY lang, figure)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.lang = m.lang AND ok.cutoff < CASE ok.figure WHEN 'symbol_rate' THEN m.symbol_rate WHEN 'dup_line_rate' THEN m.dup_line_rate WHEN 'repeat_rate' THEN m.repeat_rate ELSE m.mean_word END) AS kept
-FROM m
+h AS (SELECT lang, {over} FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+s AS (SELECT lang, list({{{", ".join(f"'p{i}': p{i}" for i in range(len(grid)))}, 'n': n}}) AS cells, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, {cells}, count(*) AS n FROM h GROUP BY ALL) GROUP BY lang HAVING sum(n) >= {least}),
+z AS (SELECT s.*, (SELECT count(*) FROM s) AS strata FROM s),
+t(step, figure, j) AS (VALUES {tests}),
+q AS (
+  SELECT lang, cells, n, strata, 0 AS step, {", ".join(f"{len(c)} AS a{i}" for i, c in enumerate(grid.values()))}, []::INTEGER[] AS failed FROM z
+  UNION ALL
+  SELECT lang, cells, n, strata, step, {after}, CASE WHEN passed OR skipped THEN failed ELSE list_append(failed, figure) END
+  FROM (SELECT *, NOT skipped AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}::DOUBLE) + (n - i) * ln(1 - {alpha!r}::DOUBLE)))) <= CASE len(failed) {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(level))} ELSE 0 END AND k < n AS passed
+    FROM (SELECT *, list_contains(failed, figure) AS skipped, CAST(coalesce(list_sum(list_transform(list_filter(cells, lambda c: {wrong}), lambda c: c.n)), 0) AS BIGINT) AS k
+      FROM (SELECT q.lang, cells, n, strata, t.step, {", ".join(f"a{i}" for i in range(len(grid)))}, failed, figure, {trial} FROM q JOIN t ON t.step = q.step + 1)))
+),
+ok AS (SELECT * FROM q WHERE step = {len(order)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept
+FROM m LEFT JOIN ok ON ok.lang IS NOT DISTINCT FROM m.lang
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op4_quality": _op4_sql()}
+    return {"op3_warc": OP3_SQL, "op4_quality": quality_sql(), "quality_loose": quality_sql(**LOOSE)}
