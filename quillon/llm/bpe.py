@@ -7,7 +7,11 @@ worker and reused. At each join the tail of the left chunk and the head of the r
 string; a chunk without such a point is taken into the join whole, and the join grows until both sides agree on a
 point. The ids are therefore those of encoding the whole text at once.
 
-Null text counts as empty; an empty text has no ids.
+Texts are encoded by ranks; the tokenizers library itself encodes what holds a run of white space of `LONG_RUN`
+characters or more, for which the other's pattern matcher has no stack.
+
+Null text counts as empty; an empty text has no ids. Repeated rows get repeated results, an empty table gives no rows,
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ WINDOW, MASK_BITS = 16, 9
 #: Bytes of chunks that one worker keeps before it starts anew.
 CACHE_BYTES = 48 << 20
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
+LAST_CUT = re.compile(r"(?s:.*)(?<=\S)(?=[ \n])")
+#: White space that is left to the library.
+LONG_RUN = 1 << 14
+LONG = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,12 +66,15 @@ class Codec:
         plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens", []))
         if not plain:
             raise ValueError(f"{path} is not a plain byte-level BPE file")
+        self.library = reference(path)
         self.by_rank = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.cores: dict[bytes, tuple[str, array, str] | None] = {}
         self.held = self.reused = self.made = 0
 
     def encode(self, text: str) -> list[int]:
         """The whole text at once."""
+        if len(text) >= LONG_RUN and LONG.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
         if any(s in text for s in self.special):
             return self.by_rank.encode(text, allowed_special="all", disallowed_special=())
         return self.by_rank.encode_ordinary(text)
@@ -97,11 +108,7 @@ class Codec:
         self.made += 1
         text, found = chunk.decode(), None
         if first := CUT.search(text):
-            at = len(text)
-            while True:
-                at = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at))
-                if not text[at - 1].isspace():
-                    break
+            at = LAST_CUT.match(text).end()
             found = (text[: first.start()], array("I", self.encode(text[first.start() : at])), text[at:])
         self.held += 6 * len(chunk) + 400
         if self.held > CACHE_BYTES:
