@@ -1,19 +1,21 @@
 """Shards of near equal bytes by a k-d tree over metadata, in DataFrame operations only.
 
 The tree's nodes are split at the weighted median (by bytes) of the node's widest dimension, until leaves have the
-target size. Dimensions are mapped to [0, 2^20) in order; a row's key in a dimension is that level followed by a hash of
-the text and one of the id, so that equal texts lie side by side among equal levels and ties can be split anywhere. A median is found by
+target size. Dimensions are mapped to [0, 2^20) in order, languages and sources by their rank among the distinct values;
+a row's key in a dimension is that level followed by a hash of the text and one of the id, so that equal texts lie side
+by side among equal levels and ties can be split anywhere. A median is found by
 histograms of a fixed number of bins per node, refined until the bin holding it is negligible; only these bins reach the
 driver.
 
 Law `bytes`: leaves differ by little more than the largest documents. Groups (equal texts) are not kept together where
-their language, source or id falls on different sides of a median. Null text has size 1; null metadata is the lowest value. Repeated rows lie in the same shard.
-An empty table gives no rows.
+their language, source or id falls on different sides of a median. Null text has size 1; null metadata is the lowest value,
+and so is an id that isn't a number (doc_id may be of any type). Repeated rows lie in the same shard. Other columns are
+not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialize, number_within
@@ -26,7 +28,7 @@ PER_CHUNK, SLACK = 100_000, 1e-4
 def narrow(df: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, th (hash of the text) and the metadata of each document."""
     text = F.coalesce("text", F.lit(""))
-    return df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.length(text).alias("n"), "lang", "source")
+    return df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.length(text).alias("n"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
 def level(x: Column, low: float, high: float) -> Column:
@@ -35,10 +37,26 @@ def level(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(top), F.greatest(F.lit(0), F.floor((x - F.lit(low)) * F.lit(top / max(high - low, 1e-9))).cast("long")))
 
 
+def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
+    """`df` with `out`: the rank of `column` among its distinct values, from 1 on; 0 for null.
+
+    The distinct values are sorted by range, and each range is numbered by itself. Whether they are few enough to be
+    broadcast is for Spark to see from their measured size; if not, hot values are split by the skew join.
+    """
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    values = materialize(values.repartitionByRange("_value").withColumn("_part", F.spark_partition_id()), "values")
+    counts = values.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = values.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("_value")))
+    ranks = materialize(own.join(shifts, F.col("_part") == F.col("_of")).select("_value", (F.col("_row") + F.col("_shift")).cast("double").alias("_rank")), "ranks")
+    return df.join(ranks, F.col(column) == F.col("_value"), "left").withColumn(out, F.coalesce("_rank", F.lit(0.0))).drop("_value", "_rank")
+
+
 def coded(df: DataFrame) -> DataFrame:
     """The dimensions as keys: k0 length (logarithmic), k1 language, k2 source, k3 doc_id."""
-    letters = lambda c: F.conv(F.substring(F.hex(F.rpad(F.coalesce(c, F.lit("")).cast("binary"), 7, F.lit(b"\x00"))), 1, 14), 16, 10).cast("double")
-    raw = df.select("doc_id", "size", "text_crc32", "th", F.log2(F.col("n") + 1.0).alias("d0"), letters(F.col("lang")).alias("d1"), letters(F.col("source")).alias("d2"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("d3"))
+    raw = ranked(ranked(df, "lang", "d1"), "source", "d2")
+    raw = raw.select("doc_id", "size", "text_crc32", "th", F.log2(F.col("n") + 1.0).alias("d0"), "d1", "d2", F.coalesce(F.col("doc_id").try_cast("double"), F.lit(-1.0)).alias("d3"))
     ends = raw.agg(*[f(f"d{i}").alias(f"{n}{i}") for i in range(4) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     tail = F.pmod(F.col("th"), F.lit(1 << 16)) * (1 << 16) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))
     return raw.select("doc_id", "size", "text_crc32", "th", *[(level(F.col(f"d{i}"), ends[f"lo{i}"] or 0.0, ends[f"hi{i}"] or 0.0) * (1 << 32) + tail).alias(f"k{i}") for i in range(4)])
