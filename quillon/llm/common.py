@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,22 +19,52 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, a temporary one on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: The tables written inside each open scratch(), innermost last.
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end: for results that have been written elsewhere by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As materialize(), kept beyond the innermost scratch()."""
+    inner = _open.pop() if _open else None
+    try:
+        return materialize(df, name)
+    finally:
+        if inner is not None:
+            _open.append(inner)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Limit what one Arrow batch carries to a Python worker, in rows and in bytes; let workers import this package."""
     env = spark.sparkContext.environment
@@ -50,6 +82,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """A table of literals; its size is known to the planner. columns: (name, type)."""
+    cells = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, columns)]) for r in rows]
+    empty = F.array().cast(f"array<struct<{', '.join(f'`{c}`: {t}' for c, t in columns)}>>")
+    return spark.range(1).select(F.inline(F.array(*cells) if cells else empty))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -5,11 +5,13 @@ the languages, and a document's probability is the mean over all its positions.
 backpropagation through time (Adam, cross-entropy at every position) on windows of labelled texts. Whole texts are
 scored: they are cut into windows of `SPAN` bytes, each read from both ends, so that work is linear and memory bounded.
 
-Training reads at most `SAMPLE` windows of a language, drawn by a hash of the id from all labelled rows that `learn`
-allows, and learns the `MOST_LANGUAGES` most frequent languages; what is not drawn doesn't matter for anything else. The same rows give the same model.
+Training reads at most `SAMPLE` rows of a language and `MOST_SAMPLE` in all (but `LEAST_SAMPLE` of each language, if it
+has them), drawn by a hash of the id from all labelled rows that `learn` allows. Every language that occurs is learned;
+what is not drawn doesn't matter for anything else. The same rows give the same model.
 
 Null text and text without a letter are `und` with score 0. With one language learned, all other text is that language;
-with none, everything is `und` with score 0. Repeated rows get repeated results. An empty table gives no rows.
+with none, everything is `und` with score 0. Repeated rows get repeated results. An empty table gives no rows. Columns
+that aren't named are not read by predict() and kept by known().
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_batches, fresh
+from quillon.llm.common import bounded_batches, fresh, small_table
 
-#: States of each direction; bytes of a window when scoring; bytes and windows a language when training; steps.
+#: States of each direction; bytes of a window when scoring; bytes and rows a language when training; steps.
 HIDDEN, SPAN, TRAIN_SPAN, SAMPLE, STEPS, BATCH = 8, 128, 64, 4000, 1200, 192
-#: Windows scored side by side, and bytes of text gathered before scoring.
+#: Labelled rows to learn from, of all languages together, and of each one even so.
+MOST_SAMPLE, LEAST_SAMPLE = 100_000, 16
+#: Windows scored side by side (fewer with many languages), and bytes of text gathered before scoring.
 SIDE, GATHER = 2048, 8 << 20
-MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -110,7 +113,8 @@ class BiGru:
         m, v = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in "mv")
         by = [np.flatnonzero(labels == i) for i in range(k)]
         for step in range(1, steps + 1):
-            rows = np.concatenate([rng.choice(i, max(1, batch // k)) for i in by if len(i)])
+            some = by if k <= batch else [by[i] for i in rng.choice(k, batch, replace=False)]
+            rows = np.concatenate([rng.choice(i, max(1, batch // k)) for i in some if len(i)])
             x, y = windows[rows].T, labels[rows]
             sf, kf = self.states(x, "f", keep=True)
             sb, kb = self.states(x[::-1], "b", keep=True)
@@ -145,8 +149,9 @@ class BiGru:
         filled[last] = sizes - (count - 1) * SPAN
         total = np.empty((len(windows), len(self.languages)), np.float64)
         order = np.argsort(filled, kind="stable")  # windows of like length side by side
-        for a in range(0, len(order), SIDE):
-            rows = order[a : a + SIDE]
+        side = max(1, SIDE * 4 // max(4, len(self.languages)))
+        for a in range(0, len(order), side):
+            rows = order[a : a + side]
             n = int(filled[rows[-1]])
             real = None if filled[rows[0]] == n else np.arange(n)[:, None] < filled[rows][None, :]
             p = self.positions(np.ascontiguousarray(windows[rows, :n].T), real)
@@ -169,18 +174,17 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).filter(learn).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return None
     languages = sorted(counts)
+    sample = min(sample, max(LEAST_SAMPLE, MOST_SAMPLE // len(counts)))
     mixed = F.xxhash64(F.col("id"), F.lit(7))
-    drawn = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 1.1 * sample / n)
-        drawn = drawn | ((F.col("lang") == lang) & (F.pmod(mixed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    shares = small_table(df.sparkSession, [(lang, int(min(1.0, 1.1 * sample / n) * (1 << 20)) + 1) for lang, n in counts.items()], [("_lang", df.schema[label_col].dataType.simpleString()), ("_share", "int")])
+    drawn = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(F.pmod(mixed, F.lit(1 << 20)) < F.col("_share"))  # a row a language
     wide = 4 * TRAIN_SPAN
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(11)), F.greatest(F.lit(1), F.length("text") - wide + 1)).cast("int") + 1
-    got = rows.filter(drawn).select(mixed.alias("mixed"), "lang", F.substring(F.col("text"), place, F.lit(wide)).alias("part")).orderBy("mixed", "lang", "part").limit(int(1.3 * sample * len(counts)) + 50 * len(counts)).collect()
+    got = drawn.select(mixed.alias("mixed"), "lang", F.substring(F.col("text"), place, F.lit(wide)).alias("part")).orderBy("mixed", "lang", "part").limit(int(1.3 * sample * len(counts)) + 50 * len(counts)).collect()
     windows, labels, taken = [], [], dict.fromkeys(languages, 0)
     for r in got:
         if taken[r["lang"]] < sample:

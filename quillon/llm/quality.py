@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, materialize
+from quillon.llm.common import fresh, materialize, small_table
 
 #: A document fails with fewer words, or with a larger percentage of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -143,7 +143,7 @@ def judged(measured: DataFrame, cutoffs: dict[object, dict[str, float]], out: st
     by, s = rates(), fresh(measured, "_stratum")
     limits = {f: fresh(measured, f"_most_{f}") for f in by}
     kind = measured.schema[stratum].dataType.simpleString()
-    table = measured.sparkSession.createDataFrame([(k, *[c.get(f) for f in by]) for k, c in cutoffs.items()], f"`{s}` {kind}, " + ", ".join(f"`{x}` double" for x in limits.values()))
+    table = small_table(measured.sparkSession, [(k, *[c.get(f) for f in by]) for k, c in cutoffs.items()], [(s, kind), *((x, "double") for x in limits.values())])
     within = [F.coalesce(by[f] <= F.col(x), F.lit(True)) for f, x in limits.items()]
     both = measured.join(table, measured[stratum].eqNullSafe(F.col(s)), "left")
     kept = ~F.col("base_failed")
