@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, linededup, neardup, packing, secrets
-from quillon.llm.common import documents, fresh, materialize
+from quillon.llm.common import documents, fresh, scratch, written
 from quillon.llm.queries import TOKENIZER
 
 #: A document of any of the languages scores more; with L languages, 1 / L is chance.
@@ -59,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what the stage wrote on its way isn't needed once its rows are written
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
