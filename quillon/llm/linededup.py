@@ -2,10 +2,14 @@
 
 A block is a run of consecutive lines with at least `block_words` words that any earlier document has as a run, too; all
 its lines are cut. Every such run is covered by its windows: the shortest runs of enough words that start at a line, and
-those that end at one. Words follow from the lines, so both documents have the same windows in the run. Windows are
-looked up by hash among all documents and the least document that has one decides, so that all earlier documents count
-and no pair of documents is ever formed: a window that a third of all documents hold gives one row for each of them.
-patience() and blocks() align a single pair of documents; what they find in any pair is cut.
+those that end at one. Words follow from the lines, so both documents have the same windows in the run.
+
+Overlapping documents are found through the hashes of their windows: a later document meets, for each of its windows,
+the least document that has it. Hashes that many documents share lead all of them to that one document, so a window
+that a third of all documents hold gives one row for each of them, and never pairs of its holders. With each document it
+meets, a later one is aligned by patience diff over the windows that lead it there (nothing else of the texts is sent).
+What is aligned is cut. Windows that the alignment leaves out (passages in another order, or repeated) are aligned again
+among themselves, so that in the end every window has been aligned with an earlier document, whichever holds it.
 
 Words are separated by white space; in scripts that are written without it (Han, kana, Thai, Lao, Khmer, Burmese,
 Tibetan) each character counts as one. Lines without words have none, but belong to the runs that they stand in.
@@ -19,7 +23,8 @@ empty. Other columns pass through; n_chars follows if it is there.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import bounded_batches, fresh, materialize
 
 BLOCK_WORDS = 5
+#: Patience diffs of a pair before the windows left are taken one by one.
+PASSES = 4
 #: A character of a script that puts no space between words.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 #: Hashes of runs are differences of prefix hashes modulo a prime.
@@ -88,6 +95,28 @@ def blocks(source: list[int], later: list[int], words: list[int], block_words: i
     return [(a, b) for a, b, _ in runs if sum(words[a : b + 1]) >= block_words]
 
 
+def aligned(shared: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Runs of lines of a later document that align with one earlier document, from their shared windows.
+
+    shared: (first and last line in the later document, first and last line in the earlier one). Windows that patience
+    diff leaves out are aligned again; what is left after `PASSES` is aligned window by window.
+    """
+    out: list[tuple[int, int]] = []
+    for _ in range(PASSES):
+        if not shared:
+            break
+        later = sorted(shared)
+        source = sorted({x[2:] for x in shared})
+        number = {x: i for i, x in enumerate(source)}
+        found = {j for _, j in patience(list(range(len(source))), [number[x[2:]] for x in later])}
+        if not found:
+            break
+        out = united(out + [later[j][:2] for j in found])
+        covered = lambda a, b: (i := bisect_right(out, (a, math.inf))) and out[i - 1][1] >= b
+        shared = [x for j, x in enumerate(later) if j not in found and not covered(*x[:2])]
+    return united(out + [x[:2] for x in shared])
+
+
 def windows(h: list[int], w: list[int], block_words: int = BLOCK_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first, last) of the shortest runs of `block_words` words from each line on and up to each line."""
     n, prefix, power, said = len(h), [0], [1], [0]
@@ -141,16 +170,21 @@ def cuts(df: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     said = materialize(own.mapInArrow(find, f"doc_id {kind}, th long, windows array<struct<s:bigint,a:int,b:int>>"), "windows")
     said = said.select(F.struct("doc_id", "th").alias("d"), F.explode("windows").alias("x")).select("d", "x.s", "x.a", "x.b")
-    shared = said.groupBy("s").agg(F.min("d").alias("first"), F.max("d").alias("last")).filter("first < last").select(F.col("s").alias("of"), "first")
+    shared = said.groupBy("s").agg(F.min(F.struct("d", "a", "b")).alias("first"), F.max("d").alias("last")).filter("first.d < last").select(F.col("s").alias("of"), "first")
     shared = materialize(shared, "shared")  # read back, so that a join on it can split the windows that many documents have
-    held = said.join(shared, F.col("s") == F.col("of")).filter("first < d").select("d.doc_id", "d.th", F.struct("a", "b").alias("x"))
+    held = said.join(shared, F.col("s") == F.col("of")).filter("first.d < d").select("d.doc_id", "d.th", F.struct(F.xxhash64("first.d").alias("source"), "a", "b", F.col("first.a").alias("c"), F.col("first.b").alias("e")).alias("x"))
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [[{"a": a, "b": b} for a, b in united([(x["a"], x["b"]) for x in r])] for r in batch.column("ranges").to_pylist()]
+            runs = []
+            for shared in batch.column("shared").to_pylist():
+                met: dict[int, list[tuple[int, int, int, int]]] = {}
+                for x in shared:
+                    met.setdefault(x["source"], []).append((x["a"], x["b"], x["c"], x["e"]))
+                runs.append([{"a": a, "b": b} for a, b in united([r for one in met.values() for r in aligned(one)])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(runs, run_type)], ["doc_id", "th", "ranges"])
 
-    return held.groupBy("doc_id", "th").agg(F.collect_set("x").alias("ranges")).mapInArrow(unite, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>")
+    return held.groupBy("doc_id", "th").agg(F.collect_list("x").alias("shared")).mapInArrow(align, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>")
 
 
 def dedup(df: DataFrame, block_words: int = BLOCK_WORDS, report: str | None = None) -> DataFrame:
