@@ -67,9 +67,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
 
 
-def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """doc_id, text, sets, next_text, next_sets: each document beside the next one by descending id, the last beside the first.
 
+    `classes` (doc_id, h: the hash of the text, near_class) adds near_class; its rows go to the documents' ranges, so that
+    no text is shuffled for them.
+
     Rows are dealt to ranges of about PER_RANGE rows by the id and, within an id, by a hash of the text (of equal width
     inside quantile cells), so that rows that repeat an id, or have none, spread out, too; neighbours meet inside a
     range. The first document of each range is also sent to the range above it. What is broadcast has a row a range,
@@ -98,13 +101,20 @@ def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent = ends.select(F.col("_first"), F.lead("_range").over(up).alias("_to"), F.min("_range").over(Window.partitionBy(F.lit(0))).alias("_lowest"))
     sent = sent.select("_first", F.coalesce("_to", "_lowest").alias("_to"))
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    texts = ranged(texts.withColumn("_key", whole(F.coalesce(F.col("doc_id"), F.lit(rest[2] - 1))) * F.lit(WITHIN) + F.pmod(F.xxhash64("text"), F.lit(WITHIN))))
+    keyed = lambda x, h: ranged(x.withColumn("_key", whole(F.coalesce(F.col("doc_id"), F.lit(rest[2] - 1))) * F.lit(WITHIN) + F.pmod(h, F.lit(WITHIN))))
+    texts = keyed(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), F.xxhash64("text"))
     extra = texts.join(F.broadcast(sent), F.col("_key") == F.col("_first")).select("doc_id", "text", "_key", F.col("_to").alias("_range"), F.lit(1).alias("_sent"))
-    both = fingerprints(texts.select("doc_id", "text", "_key", "_range", F.lit(0).alias("_sent")).unionByName(extra), "text", "sets")
-    w = Window.partitionBy("_range").orderBy("_sent", F.desc("_key"), F.desc("text"))
+    both = texts.select("doc_id", "text", "_key", "_range", F.lit(0).alias("_sent")).unionByName(extra).withColumn("near_class", F.lit(None).cast("long"))
+    if classes is not None:
+        named = keyed(classes.select(F.col("doc_id").cast("long").alias("doc_id"), "h", F.col("near_class").cast("long").alias("near_class")), F.col("h"))
+        both = both.unionByName(named.select("doc_id", F.lit(None).cast("string").alias("text"), "_key", "_range", F.lit(2).alias("_sent"), "near_class"))
     both = both.repartition(tasks, "_range")  # as many tasks as the input has need of
-    return both.select("doc_id", "text", "sets", "_sent", F.lead("text").over(w).alias("next_text"), F.lead("sets").over(w).alias("next_sets")).filter("_sent = 0").drop("_sent")
+    w, same = Window.partitionBy("_range").orderBy("_sent", F.desc("_key"), F.desc("text")), Window.partitionBy("_range", "_key")
+    if classes is not None:
+        both = both.withColumn("near_class", F.max("near_class").over(same))
+    near = both.select("doc_id", "text", "_sent", "near_class", F.lead("text").over(w).alias("next_text")).filter("_sent = 0")
+    near = fingerprints(fingerprints(near, "text", "sets"), "next_text", "next_sets")
+    return near.select("doc_id", "text", "sets", "next_text", "next_sets", *["near_class"] * (classes is not None))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -114,9 +124,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, near_class (the least id of the class), a row per row. Sets are known by a 64-bit hash."""
-    said = fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "sets")
-    docs = materialize(said.select("doc_id", "sets", F.xxhash64("sets").alias("s")), "spots")
+    """doc_id, h (hash of the text), near_class (the least id of the class), a row per row. Sets are known by a 64-bit hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    said = fingerprints(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), "text", "sets")
+    docs = materialize(said.select("doc_id", "h", "sets", F.xxhash64("sets").alias("s")), "spots")
     classes = materialize(docs.groupBy("s").agg(F.min("doc_id").alias("id"), F.first("sets").alias("sets")), "classes")
     counter = lambda x: F.pmod(x, F.lit(COUNTERS))
     counts = classes.select(F.explode("sets").alias("x")).groupBy(counter(F.col("x")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -128,7 +139,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     heads = classes.filter(F.size("sets") > 0).select("s", F.size("sets").alias("n"), ordered.alias("o"))
     spots = heads.select("s", "n", F.posexplode(F.slice("o", 1, least(threshold))).alias("pos", "o")).select("s", "n", F.col("o.x").alias("x"), (F.col("pos") < least(2 * threshold / (1 + threshold))).alias("short"))
     several = spots.groupBy("x").agg(F.count(F.lit(1)).alias("_n"), F.max("short").alias("_short")).filter("_n > 1 and _short").select(F.col("x").alias("_x"))
-    met = materialize(spots.join(several, F.col("x") == F.col("_x"), "left_semi"), "met")
+    met = materialize(spots.join(several.hint("merge"), F.col("x") == F.col("_x"), "left_semi"), "met")
     part = F.floor(F.log(n.cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
     members = met.withColumn("part", part).select(F.explode(F.array(F.struct("part", F.lit(0).alias("down")), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("down")))).alias("p"), "s", "n", "x", "short")
     members = members.select(F.struct("p.part", "x").alias("path"), "s", "n", (F.col("short") & (F.col("p.down") == 0)).alias("short"))
@@ -137,7 +148,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     buckets = members.groupBy("path").agg(F.max("short").alias("any"), F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "s")).alias("head")).filter("any and k > 1").select(F.col("path").alias("_path"), "head")
     members = materialize(members.join(buckets, F.col("path") == F.col("_path")).drop("_path"), "members")
     wanted = members.select(F.col("s").alias("_s")).distinct()
-    sets = materialize(classes.join(wanted, F.col("s") == F.col("_s"), "left_semi").select("s", "sets"), "wanted")
+    sets = materialize(classes.join(wanted.hint("merge"), F.col("s") == F.col("_s"), "left_semi").select("s", "sets"), "wanted")
 
     def compared(pairs: DataFrame) -> DataFrame:
         of = lambda c: sets.select(F.col("s").alias(c), F.col("sets").alias(f"_{c}"))
@@ -164,4 +175,4 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     named = classes.select(F.col("s").alias("_s"), "id").join(found, F.col("_s") == F.col("node"), "left").select("_s", "id", F.coalesce("component", "_s").alias("component"))
     least_id = named.groupBy(F.col("component").alias("_component")).agg(F.min("id").alias("near_class"))
     named = materialize(named.join(least_id, F.col("component") == F.col("_component")).select("_s", "near_class"), "named")
-    return docs.join(named, F.col("s") == F.col("_s")).select("doc_id", "near_class")
+    return docs.join(named, F.col("s") == F.col("_s")).select("doc_id", "h", "near_class")
