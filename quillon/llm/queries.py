@@ -64,12 +64,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    classes = materialize(spotsigs.near_classes(docs), "near")
-    near = spotsigs.beside_next(docs, classes=classes).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
-    near = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sets", "next_sets", "near_class")
-    near = spotsigs.fingerprints(near, "edited", "edited_sets")
-    return near.select("doc_id", "n_chars", "edited_sha256", spotsigs.shown(F.col("sets")).alias("fingerprint"), spotsigs.shown(F.col("edited_sets")).alias("edited_fingerprint"), spotsigs.likeness(F.col("sets"), F.col("edited_sets")).alias("near_edited"), spotsigs.likeness(F.col("sets"), F.col("next_sets")).alias("near_next"), "near_class")
+    near = spotsigs.beside_next(documents(spark, sf_dir)).withColumn("edited", spotsigs.edited(F.col("text"), F.col("next_text")))
+    near = spotsigs.fingerprints(near.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sets", "next_sets"), "edited", "edited_sets")
+    return near.select("doc_id", "n_chars", "edited_sha256", spotsigs.shown(F.col("sets")).alias("fingerprint"), spotsigs.shown(F.col("edited_sets")).alias("edited_fingerprint"), spotsigs.likeness(F.col("sets"), F.col("edited_sets")).alias("near_edited"), spotsigs.likeness(F.col("sets"), F.col("next_sets")).alias("near_next"))
+
+
+def spotsigs_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near classes of the fingerprints of op8."""
+    return spotsigs.near_classes(documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secrets, op2_line_dedup, op3_warc, op4_quality, op5_near_dup, op6_bpe, op7_sharding, op8_spotsigs, op9_packing, op10_langid, pipeline, quality_loose]
+    own = [op1_secrets, op2_line_dedup, op3_warc, op4_quality, op5_near_dup, op6_bpe, op7_sharding, op8_spotsigs, op9_packing, op10_langid, pipeline, quality_loose, spotsigs_near]
     return {f.__name__: f for f in own}
 
 

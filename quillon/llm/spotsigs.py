@@ -10,10 +10,11 @@ Near classes join documents whose sets have a likeness of `threshold` or more, d
 are compared once. Sets are partitioned by size: a pair at similarity t has sizes within the factor t of each other, so
 each set meets its own size class and the next smaller one. There sets meet on a prefix of their signatures alone, those
 that many sets share last in order: a pair at t has a signature of the larger one's first n - ceil(t n) + 1 among the
-smaller one's first n - ceil(2 t n / (1 + t)) + 1. Every set of a bucket is compared with one of them, the bucket's
-head; what can't reach t by size isn't compared at all. Then only pairs across components can change a class, and the
+smaller one's first n - ceil(2 t n / (1 + t)) + 1. Every set of a bucket is compared with its most central one, the
+head (the set whose buckets are largest); what can't reach t by size isn't compared at all. Then only pairs across components can change a class, and the
 largest component of a bucket isn't joined with itself, so that a group of near copies costs a comparison a copy. As the
-distance 1 - likeness is a metric, pairs whose distances to the head differ by more than 1 - t are left out.
+distance 1 - likeness is a metric, pairs whose distances to the head differ by more than 1 - t are left out, and so are
+pairs that can't reach t even if they share all signatures that any other set of such a bucket has.
 
 Null text counts as empty; an empty text has an empty set. Equal texts have equal fingerprints. Rows that repeat get
 repeated results. An empty table gives no rows. Ids must be numbers (or null) where documents are set beside the next
@@ -36,7 +37,7 @@ ANCHORS = sorted(set("the and was for that with are this have from not but had h
 #: Documents of one range when each is set beside the next; ranges and quantile cells at most.
 PER_RANGE, MOST_RANGES, CELLS = 1000, 100_000, 64
 #: Parts that the hash of a text has inside an id, and bytes of text that a task takes.
-WITHIN, TASK_BYTES = 10**9, 32 << 20
+WITHIN, TASK_BYTES = 10**9, 16 << 20
 THRESHOLD = 0.8
 #: Counters of signatures, and how many times their mean makes those of a counter common.
 COUNTERS, COMMON = 1 << 16, 8
@@ -67,12 +68,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
 
 
-def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
+def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, sets, next_text, next_sets: each document beside the next one by descending id, the last beside the first.
 
-    `classes` (doc_id, h: the hash of the text, near_class) adds near_class; its rows go to the documents' ranges, so that
-    no text is shuffled for them.
-
     Rows are dealt to ranges of about PER_RANGE rows by the id and, within an id, by a hash of the text (of equal width
     inside quantile cells), so that rows that repeat an id, or have none, spread out, too; neighbours meet inside a
     range. The first document of each range is also sent to the range above it. What is broadcast has a row a range,
@@ -101,20 +99,13 @@ def beside_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     sent = ends.select(F.col("_first"), F.lead("_range").over(up).alias("_to"), F.min("_range").over(Window.partitionBy(F.lit(0))).alias("_lowest"))
     sent = sent.select("_first", F.coalesce("_to", "_lowest").alias("_to"))
 
-    keyed = lambda x, h: ranged(x.withColumn("_key", whole(F.coalesce(F.col("doc_id"), F.lit(rest[2] - 1))) * F.lit(WITHIN) + F.pmod(h, F.lit(WITHIN))))
-    texts = keyed(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), F.xxhash64("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    texts = ranged(texts.withColumn("_key", whole(F.coalesce(F.col("doc_id"), F.lit(rest[2] - 1))) * F.lit(WITHIN) + F.pmod(F.xxhash64("text"), F.lit(WITHIN))))
     extra = texts.join(F.broadcast(sent), F.col("_key") == F.col("_first")).select("doc_id", "text", "_key", F.col("_to").alias("_range"), F.lit(1).alias("_sent"))
-    both = texts.select("doc_id", "text", "_key", "_range", F.lit(0).alias("_sent")).unionByName(extra).withColumn("near_class", F.lit(None).cast("long"))
-    if classes is not None:
-        named = keyed(classes.select(F.col("doc_id").cast("long").alias("doc_id"), "h", F.col("near_class").cast("long").alias("near_class")), F.col("h"))
-        both = both.unionByName(named.select("doc_id", F.lit(None).cast("string").alias("text"), "_key", "_range", F.lit(2).alias("_sent"), "near_class"))
+    both = fingerprints(texts.select("doc_id", "text", "_key", "_range", F.lit(0).alias("_sent")).unionByName(extra), "text", "sets")
+    w = Window.partitionBy("_range").orderBy("_sent", F.desc("_key"), F.desc("text"))
     both = both.repartition(tasks, "_range")  # as many tasks as the input has need of
-    w, same = Window.partitionBy("_range").orderBy("_sent", F.desc("_key"), F.desc("text")), Window.partitionBy("_range", "_key")
-    if classes is not None:
-        both = both.withColumn("near_class", F.max("near_class").over(same))
-    near = both.select("doc_id", "text", "_sent", "near_class", F.lead("text").over(w).alias("next_text")).filter("_sent = 0")
-    near = fingerprints(fingerprints(near, "text", "sets"), "next_text", "next_sets")
-    return near.select("doc_id", "text", "sets", "next_text", "next_sets", *["near_class"] * (classes is not None))
+    return both.select("doc_id", "text", "sets", "_sent", F.lead("text").over(w).alias("next_text"), F.lead("sets").over(w).alias("next_sets")).filter("_sent = 0").drop("_sent")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -124,10 +115,9 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), near_class (the least id of the class), a row per row. Sets are known by a 64-bit hash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    said = fingerprints(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")), "text", "sets")
-    docs = materialize(said.select("doc_id", "h", "sets", F.xxhash64("sets").alias("s")), "spots")
+    """doc_id, near_class (the least id of the class), a row per row. Sets are known by a 64-bit hash."""
+    said = fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "sets")
+    docs = materialize(said.select("doc_id", "sets", F.xxhash64("sets").alias("s")), "spots")
     classes = materialize(docs.groupBy("s").agg(F.min("doc_id").alias("id"), F.first("sets").alias("sets")), "classes")
     counter = lambda x: F.pmod(x, F.lit(COUNTERS))
     counts = classes.select(F.explode("sets").alias("x")).groupBy(counter(F.col("x")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -145,8 +135,11 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     members = members.select(F.struct("p.part", "x").alias("path"), "s", "n", (F.col("short") & (F.col("p.down") == 0)).alias("short"))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
 
-    buckets = members.groupBy("path").agg(F.max("short").alias("any"), F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "s")).alias("head")).filter("any and k > 1").select(F.col("path").alias("_path"), "head")
+    buckets = members.groupBy("path").agg(F.max("short").alias("any"), F.count(F.lit(1)).alias("k")).filter("any and k > 1").select(F.col("path").alias("_path"), "k")
     members = materialize(members.join(buckets, F.col("path") == F.col("_path")).drop("_path"), "members")
+    central = members.groupBy(F.col("s").alias("_s")).agg(F.sum("k").alias("central"))  # of near copies the least edited one
+    chosen = members.join(central, F.col("s") == F.col("_s")).groupBy(F.col("path").alias("_path")).agg(F.max(F.struct("central", "s", "n")).alias("head"))
+    members = materialize(members.join(chosen, F.col("path") == F.col("_path")).select("path", "s", "n", "short", "head"), "members")
     wanted = members.select(F.col("s").alias("_s")).distinct()
     sets = materialize(classes.join(wanted.hint("merge"), F.col("s") == F.col("_s"), "left_semi").select("s", "sets"), "wanted")
 
@@ -165,9 +158,15 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     parts = far.groupBy("path", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = parts.groupBy(F.col("path").alias("_path")).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "component"))["component"].alias("main")).filter("parts > 1")
     level = materialize(far.join(mixed, F.col("path") == F.col("_path")).select("path", "s", "n", "short", "near", "component", (F.col("component") != F.col("main")).alias("minor")), "mixed")
-    right = level.filter("short").select("path", *[F.col(c).alias(f"_{c}") for c in ("s", "n", "near", "component", "minor")])
+    held = sets.join(level.select(F.col("s").alias("_s")).distinct().hint("merge"), F.col("s") == F.col("_s"), "left_semi").select("s", F.explode("sets").alias("x"))
+    own = held.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("s").alias("_of")).filter("k = 1").groupBy("_of").agg(F.count(F.lit(1)).alias("own"))
+    level = level.join(own, F.col("s") == F.col("_of"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("_of", "own")
+    level = materialize(level.filter(F.col("common") >= F.col("n") * threshold - 1e-9), "level")
+    right = level.filter("short").select("path", *[F.col(c).alias(f"_{c}") for c in ("s", "n", "near", "component", "minor", "common")])
     after = (n > F.col("_n")) | (n == F.col("_n")) & (F.col("s") > F.col("_s")) | ~F.col("short")  # pairs of two short ones once
     across = (F.col("component") != F.col("_component")) & (n >= F.col("_n")) & after & fits(n, F.col("_n")) & F.coalesce(F.abs(F.col("near") - F.col("_near")) <= 1 - threshold + 1e-9, F.lit(True))
+    both = F.least("common", "_common")
+    across &= both >= threshold * (n + F.col("_n") - both) - 1e-9
     formed = level.filter("minor").join(right, "path").filter(across).unionByName(level.filter("not minor").join(right.filter("_minor"), "path").filter(across))
     more = compared(formed.select(*pair(F.col("s"), F.col("_s"))))
     links = links.unionByName(more.filter(F.col("likeness") >= threshold - 1e-9).select("a", "b"))
@@ -175,4 +174,4 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     named = classes.select(F.col("s").alias("_s"), "id").join(found, F.col("_s") == F.col("node"), "left").select("_s", "id", F.coalesce("component", "_s").alias("component"))
     least_id = named.groupBy(F.col("component").alias("_component")).agg(F.min("id").alias("near_class"))
     named = materialize(named.join(least_id, F.col("component") == F.col("_component")).select("_s", "near_class"), "named")
-    return docs.join(named, F.col("s") == F.col("_s")).select("doc_id", "h", "near_class")
+    return docs.join(named, F.col("s") == F.col("_s")).select("doc_id", "near_class")
