@@ -31,14 +31,27 @@ def check_not_null(rows: DataFrame, table: TableMeta) -> None:
                 raise EngineError(f"NOT NULL constraint failed: {c}")
 
 
-def check_unique(rows: DataFrame, table: TableMeta, before: DataFrame | None = None) -> None:
-    """No two rows with equal keys in `rows`, nor a row of `before` with a key of `rows`; keys with a null are free."""
+#: New rows up to which their keys are broadcast to the scan of the old ones.
+BROADCAST_ROWS = 100_000
+
+
+def clashes(full: DataFrame, before: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """Rows of `before` that have a key of `full`: a scan without a shuffle where `full` has few rows, with the keys' range pushed down."""
+    for c in key:
+        low, high = full.agg(F.min(f"`{c}`"), F.max(f"`{c}`")).first()
+        if low is not None:
+            before = before.filter((F.col(f"`{c}`") >= F.lit(low)) & (F.col(f"`{c}`") <= F.lit(high)))
+    return before.join(F.broadcast(full) if rows <= BROADCAST_ROWS else full, key, "left_semi")
+
+
+def check_unique(rows: DataFrame, table: TableMeta, before: DataFrame | None = None, n: int | None = None) -> None:
+    """No two rows with equal keys in `rows` (`n` of them), nor a row of `before` with a key of `rows`; keys with a null are free."""
     for key in [k for k in [table.primary_key, *table.uniques] if k]:
         columns = [F.col(f"`{c}`") for c in key]
         full = rows.select(*columns).dropna()
         found = full.groupBy(*columns).count().filter("count > 1").select(*columns).limit(1).collect()
         if not found and before is not None:
-            found = full.join(before.select(*columns), key, "left_semi").limit(1).collect()
+            found = clashes(full, before.select(*columns), key, rows.count() if n is None else n).limit(1).collect()
         if found:
             raise EngineError(f"UNIQUE constraint failed: {', '.join(key)} = {', '.join(str(v) for v in found[0])}")
 

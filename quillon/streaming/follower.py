@@ -1,17 +1,21 @@
 """A replica that follows a database's commit log with Structured Streaming.
 
-Each commit is one file of the log. The follower streams them, copies the files of the tables that a commit changed and
-publishes the same commit in its own folder; a batch that is replayed after a failure changes nothing, as commits already
+Each commit is one file of the log. The follower streams them, copies the rows of the files that a commit added (one job a
+folder, whose tasks write a folder a file) and publishes the same commit in its own folder; a batch that is replayed after a failure changes nothing, as commits already
 applied are skipped. A new epoch (the master was created anew) empties the replica first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.engine import Engine
-from quillon.sources.store import Files, Manifest
+from quillon.sources.store import Files, Manifest, folder
+
+#: The column that tells a replica's rows apart by the master's file.
+FILE = "__from"
 
 
 class Follower:
@@ -24,6 +28,11 @@ class Follower:
         names = sorted(n for n in self.files.names(f"{self.replica}/_commits") if n.endswith(".json") and not n.startswith("."))
         return Manifest.of(self.files.read(f"{self.replica}/_commits/{names[-1]}")) if names else None
 
+    @staticmethod
+    def own(part: str) -> str:
+        """Where the replica has the rows of a master's file."""
+        return f"{folder(part)}/{FILE}={part.rpartition('/')[2]}"
+
     def apply(self, manifest: Manifest) -> None:
         """Copy what is new and publish."""
         known = self._known()
@@ -35,9 +44,15 @@ class Follower:
         self.files.make(f"{self.replica}/_commits")
         there = {p for t in known.tables.values() for p in t.parts} if known else set()
         for table in manifest.tables.values():
+            new: dict[str, list[str]] = {}
             for part in table.parts:
-                if part not in there:
-                    self.spark.read.schema(table.schema()).parquet(f"{self.master}/{part}").write.mode("overwrite").parquet(f"{self.replica}/{part}")
+                if self.own(part) not in there:
+                    new.setdefault(folder(part), []).append(f"{self.master}/{part}")
+            for place, files in new.items():
+                rows = self.spark.read.schema(table.schema()).parquet(*files).withColumn(FILE, F.col("_metadata.file_name"))
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FILE).parquet(f"{self.replica}/{place}")
+            written = {f"{place}/{name}" for place in new for name in self.files.names(f"{self.replica}/{place}")} | there
+            table.parts = [q for q in map(self.own, table.parts) if q in written]  # a file without rows leaves nothing
         self.files.publish(f"{self.replica}/_commits/{manifest.xid:020d}.json", manifest.text())
         if manifest.xid:
             self.applied.append(manifest.xid)
