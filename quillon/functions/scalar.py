@@ -1,4 +1,4 @@
-"""Scalar functions where the dialect's meaning differs from Spark's. All are built-in expressions (no Python UDF)."""
+"""Scalar functions as columns, where the dialect's meaning differs from Spark's."""
 
 from __future__ import annotations
 
@@ -10,57 +10,3 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
     """Halves go towards positive infinity: -2.5 becomes -2."""
     scale = F.pow(F.lit(10.0), F.lit(digits))
     return F.floor(x * scale + 0.5) / scale
-
-
-def trim_space(s: Column) -> Column:
-    """All white space at both ends."""
-    return F.regexp_replace(s, r"^\s+|\s+$", "")
-
-
-def substring(s: Column, start: Column, length: Column | None = None) -> Column:
-    """Positions count from 1; an earlier start means 1, a negative length 0."""
-    first = F.greatest(start, F.lit(1)).cast("int")
-    return F.substr(s, first) if length is None else F.substr(s, first, F.greatest(length, F.lit(0)).cast("int"))
-
-
-def replace(s: Column, old: Column, new: Column) -> Column:
-    """Null stands for the empty string in `old` and `new`."""
-    return F.replace(s, F.coalesce(old, F.lit("")), F.coalesce(new, F.lit("")))
-
-
-def concat_skip_null(*parts: Column) -> Column:
-    return F.concat_ws("", *[p.cast("string") for p in parts])
-
-
-def strict_log(x: Column, name: str = "ln") -> Column:
-    """ln or log10; an error at 0 and below."""
-    f = F.ln if name == "ln" else F.log10
-    return F.when(x <= 0, F.raise_error(F.lit(f"{name}() domain error")).cast("double")).otherwise(f(x))
-
-
-def seeded_random(seed: Column) -> Column:
-    """The fraction of a fixed wave at the seed, in [0, 1)."""
-    wave = F.sin(seed * 127.1 + 311.7) * 43758.5453
-    return wave - F.floor(wave)
-
-
-def type_name(x: Column) -> Column:
-    kind = F.typeof(x)
-    return F.when(x.isNull(), "null").when(kind == "string", "string").when(kind == "boolean", "boolean").when(kind.rlike("^(tinyint|smallint|int|bigint|float|double|decimal)"), "number").otherwise("object")
-
-
-def truthy(x: Column) -> Column:
-    """A condition from a number (not 0), a numeric text or a boolean."""
-    return F.coalesce(x.try_cast("double") != 0, x.try_cast("boolean"))
-
-
-def now_text() -> Column:
-    """ISO 8601 in UTC, with milliseconds."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
-def group_concat(x: Column, order: Column | None = None) -> Column:
-    """Non-null values joined by commas, '' if there are none."""
-    text = x.cast("string")
-    items = F.sort_array(F.collect_list(text)) if order is None else F.transform(F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t"))))), lambda s: s["t"])
-    return F.array_join(items, ",")

@@ -1,13 +1,10 @@
-"""Joins that need a choice: sides of a checked size are broadcast, null keys can match."""
+"""Joins beyond the dialect's own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a theta join may broadcast its smaller side.
-BROADCAST_ROWS = 100_000
-
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equi-join in which nulls match nulls."""
@@ -15,22 +12,3 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], ho
     for a, b in keys:
         cond = cond & left[a].eqNullSafe(right[b])
     return left.join(right, cond, how)
-
-
-def theta(left: DataFrame, right: DataFrame, cond, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join on any condition: broadcasts the right side only if a look at it finds at most `rows` rows."""
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right, cond, how)
-
-
-def set_operation(kind: str, left: DataFrame, right: DataFrame, every: bool = False) -> DataFrame:
-    """union, intersect or except of tables with as many columns; `every` keeps repeated rows."""
-    if len(left.columns) != len(right.columns):
-        from quillon.errors import EngineError
-
-        raise EngineError("both sides of a set operation must have the same number of columns")
-    if kind == "union":
-        return left.union(right) if every else left.union(right).distinct()
-    if kind == "intersect":
-        return left.intersectAll(right) if every else left.intersect(right)
-    return left.exceptAll(right) if every else left.subtract(right)
