@@ -3,7 +3,7 @@
 Assignments are lexed into name-literal pairs (source code and configuration: `=`, `:`, `:=`, `=>`; quoted strings, also
 of three quotes, bare values, concatenations and adjacent strings). A value goes on over line ends inside parentheses,
 brackets and calls, after `+` or a backslash, as a string on the next line, and as a block scalar (`|`, `>`) of deeper
-lines; the items of a list and the arguments of a call count one by one, what is looked up by name (`getenv("X")`) not
+lines; the items of a list and the arguments of a call count one by one, what is looked up by name (`getenv("X")`, `env['X']`) not
 at all. The body of a PEM private key belongs to its label. A name that was given a literal before, also as $NAME,
 ${NAME} or inside a string with double quotes, stands for that literal later on in the same text, so a constant that
 reaches a sensitive name through other names is found where it was written. Values are known by their parts and counts
@@ -82,6 +82,8 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----((?s:.*?))-----END \
 LOOKUP = re.compile(r"(?i)(?:getenv|environ|env|get|getproperty|lookup|input|getpass|prompt|open)$")
 #: Characters at both ends of a value that are kept as they are; bits of its size, beyond which its counts are scaled.
 ENDS, SIZE_BITS = 64, 40
+#: What may stand directly before a quote.
+PREFIX = re.compile(r"[bBrRuUfF]{1,2}")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -232,6 +234,8 @@ def values(text: str, line: int, at: int, known: dict[str, Value], dead: frozens
             if not skip:
                 parts.append(Value(t[k:-k], (a + k, b - k)) if t[0] == "'" else resolved(t[k:-k], a + k, known))
             more = False
+        elif kind == "name" and PREFIX.fullmatch(t) and text[b : b + 1] in ('"', "'"):
+            pass
         elif t in ("(", "["):
             depth, more = depth + 1, False
         elif t in (")", "]"):
@@ -247,8 +251,8 @@ def values(text: str, line: int, at: int, known: dict[str, Value], dead: frozens
             more = True
         elif kind == "bare" and t == "\\" and text[b : b + 1] == "\n":
             more = True
-        elif kind == "name" and text[b : b + 1] == "(" and not (parts and not more and not depth):
-            if LOOKUP.search(t):
+        elif kind == "name" and text[b : b + 1] in ("(", "[") and not (parts and not more and not depth):
+            if text[b] == "[" or LOOKUP.search(t):
                 skip.append(depth + 1)
             more = False
         elif kind == "name" and (v := known.get(t.lstrip("$"))) is not None and text[b : b + 1] not in ("$", "{") and (depth or not parts or more):

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,57 @@ def test_secrets_over_lines_and_through_references():
         assert [text[a:b] for kind, a, b, _ in secrets.scan_text(text) if kind == 3] == want, text[:80]
 
 
+PLAIN = ['sort_key = "created_at_2024"', "primary_key: customer_id_v2", 'token_type = "bearer_access_v1"', 'api_key_name = "main_gateway_01"', "key_id: 8f3ac1d09b7e", 'auth_url = "https://login.example.com/v2/start"', "password_policy: at_least_12_chars", "auth: basic_login_form_2024", 'cache_key = f"user:{user_id}:profile"', "private_dir = '/var/lib/app/private_01'", "key = see_the_manual_page_12", "pwd = changeme", "secret: ${VAULT_SECRET}", "password = getpass('Database password 1: ')", "db_pwd = os.environ['DB_PASSWORD_MAIN']", "salt = sea_and_rock_2", "signature: summary_of_changes_1", "The key: keep it simple", "keyboard = 'qwerty_US_105'", "tokens = 120394", "token_count = 998877", "lookup_key='order_line_2024'", "primaryKey = 'rowNumber12'", "monkey = 'Banana77Split'", "public_key: ssh_rsa_main_2024", "license_key_path = '/opt/app/lic_2024.key'", "hash_key = partition_of_day_07", "author = 'R4nd0m Nam3'", "authority: 'Port0fR1ga'", "name: Zq8x-Lp2vR9"]
+HIDDEN = [("db_pwd = '%s'", 1), ('{"client_secret": "%s"}', 1), ("export SIGNING_KEY=%s", 1), ("auth_token: %s", 0), ("<password>%s</password>", 1), ("passphrase := `%s`", 1), ("credentials = [\n  '%s',\n]", 1), ("privateKey => \"%s\"", 1), ("smtp.passwd:\n    %s", 1), ("p = '%s'\nDB_PWD = p", 1), ("q='%s'\nAUTH_PWD=\"${q}\"", 1), ("bearer = b'%s'", 1), ("it's here: db_pwd = '%s'", 1), ("the 5\" disk, pwd=%s", 1)]
+
+
+def test_secrets_found_and_plain_values_left_alone():
+    """30 harmless assignments give nothing; 14 ways to write a secret give exactly its text."""
+    named = lambda t: [t[a:b] for kind, a, b, _ in secrets.scan_text(t) if kind == 3]
+    assert [t for t in PLAIN if named(t)] == []
+    for secret in ("Zq8x-Lp2vR9", "f8Kd02mZq1LLx9", "hG7#kd92!mQ4z"):
+        for form, expected in HIDDEN:
+            text = form % secret
+            if "#" in secret and form.endswith("%s"):
+                continue  # a comment begins there
+            base = any(kind < 3 and text[a:b].count(secret) for kind, a, b, _ in secrets.scan_text(text))
+            assert named(text) == [secret] * expected or base, text
+
+
+def test_secrets_named_spans_against_plain_lines():
+    """Random assignments of one line each: a span where the name's weight times the value's randomness says so."""
+    rng = random.Random(11)
+    names = ["db_pwd", "userName", "signingKey", "salt", "color", "credential", "sort_key", "auth_code", "token_type"]
+    letters = "abcdefXYZ0189-!k"
+    lines, want, at = [], [], 0
+    for _ in range(400):
+        name, value = rng.choice(names), "".join(rng.choice(letters) for _ in range(rng.randrange(3, 20)))
+        before, after = rng.choice([(f'{name} = "', '"'), (f"{name}: '", "',"), (f'  "{name}": "', '",'), (f"{name} := `", "`")])
+        w, v = secrets.weight(name), secrets.Value(value)
+        if (score := w * secrets.randomness(v, w >= secrets.CERTAIN)) >= secrets.THRESHOLD:
+            want.append((3, at + len(before), at + len(before) + len(value), score))
+        lines.append(before + value + after)
+        at += len(lines[-1]) + 1
+    text = "\n".join(lines)
+    held = [(a, b) for kind, a, b, _ in secrets.scan_text(text) if kind < 3]
+    want = [x for x in want if not any(a <= x[1] and x[2] <= b for a, b in held)]
+    assert [x for x in secrets.scan_text(text) if x[0] == 3] == want and len(want) > 50
+
+
+def test_secrets_lexing_is_linear():
+    long = 60_000
+    for t in ('x = "' + '\\"' * long, "x = '" + "\\'" * long, "a=(" * long, '"' * long + "=", "pwd: |\n" + " a: |\n" * long, "<a>" * long, "a = b(\n" * long, 'pwd="' + "$A" * long + '"', "a = 'Zq1!x9'\n" + "pwd = a\n" * long, "p='Zq8!xyq'\n" + "p = p + p\npwd = p\n" * (long // 10)):
+        began = time.time()
+        secrets.scan_text(t)
+        assert time.time() - began < 15, t[:20]
+
+
+def test_secrets_of_empty_and_repeated_rows(make):
+    assert secrets.scan(make([])).count() == 0 and secrets.redact(make([])).count() == 0
+    rows = [(4, "db_pwd = 'Zq8x-Lp2vR9'")] * 3
+    assert [[(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(make(rows)).collect()] == [[(10, 21)]] * 3
+
+
 def test_secrets_query_digest(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark, SF).collect()}
     for r in queries.op1_secrets(spark, SF).collect():
@@ -92,6 +144,26 @@ def test_bpe_agrees_on_every_code_point():
         assert list(c.encode_by_chunks(text)) == ref.encode(text, add_special_tokens=False).ids
 
 
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "x" + " " * 1_000_000 + "y z", "a b\n" + "\n" * 300_000 + "<|endoftext|> c", "<|endoftext|>" + " " * 20_000 + "<|endoftext|>", " \n" * 200_000 + "end", "x" * 1_000_000]
+
+
+def test_bpe_of_very_long_white_space(make):
+    ref = bpe.reference(PATH)
+    rows = {r["doc_id"]: r for r in bpe.transcode(make(LONG), PATH).collect()}
+    for i, t in enumerate(LONG):
+        assert rows[i]["ids"] == ref.encode(t, add_special_tokens=False).ids and rows[i]["decoded"] == t
+    pieces = packing.pack(make(LONG), PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {i: len(rows[i]["ids"]) + 1 for i in range(len(LONG))}
+
+
+def test_bpe_of_empty_and_repeated_rows(make):
+    assert bpe.transcode(make([]), PATH).count() == 0 and packing.pack(make([]), PATH).count() == 0
+    rows = bpe.transcode(make([(1, "same text")] * 3), PATH).collect()
+    assert len(rows) == 3 and len({tuple(r["ids"]) for r in rows}) == 1
+    packed = packing.pack(make([(1, "same text")] * 3), PATH).collect()
+    assert len(packed) == 3 and len({(r["sequence_id"], r["offset"]) for r in packed}) == 3
+
+
 def test_bpe_chunks_are_reused_and_whole():
     c = bpe.Codec(PATH)
     shared = prose(9, 2000)
@@ -166,6 +238,49 @@ def test_warc_damage_is_noticed():
                 list(warc.read(io.BytesIO(deflate.compress(bad) + deflate.flush())))
 
 
+def member(head, block, end=b"\r\n\r\n"):
+    deflate = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return deflate.compress(b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + end) + deflate.flush()
+
+
+def test_warc_of_other_writers(spark):
+    body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
+    uuid = "<urn:uuid:0f1c2d3e-0000-4000-8000-000000000001>"
+    image = b"".join(
+        (
+            member({"WARC-Type": "warcinfo", "WARC-Record-ID": uuid, "Content-Length": 9, "Content-Type": "application/warc-fields"}, b"a: b\r\nc:\n"[:9]),
+            member({"warc-type": "request", "WARC-Record-ID": uuid, "Content-Length": 18, "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+            member({"WARC-Type": "response", "WARC-Record-ID": uuid, "WARC-Target-URI": "http://x/", "Content-Length": len(body), "Content-Type": "application/http", "WARC-Payload-Digest": f"sha1:{hashlib.sha1(b'<p>hi</p>').hexdigest()}"}, body),
+            member({"WARC-Type": "resource", "Content-Length": 3, "WARC-Block-Digest": "md5:abc"}, b"raw"),
+        )
+    )
+    rows = warc.records(spark.createDataFrame([(bytearray(image),), (None,)], "warc binary")).collect()
+    assert [(r["record_type"], r["record_id"], r["record_name"], r["payload_bytes"]) for r in rows] == [("warcinfo", None, uuid, 9), ("request", None, uuid, 0), ("response", None, uuid, 9), ("resource", None, None, 3)]
+    assert rows[2]["payload"] == b"<p>hi</p>" and rows[2]["url"] == "http://x/" and rows[3]["payload"] == b"raw"
+
+
+def test_warc_damage_is_a_value_error():
+    """Any change of a byte, any cut and any missing header is a ValueError, or doesn't change what is read."""
+    good = warc.record(1, "u", b"payload", None) + warc.record(2, "v", b"more", 1)
+    want = [(r["head"], r["payload"]) for r in warc.read(io.BytesIO(good))]
+    for i in range(len(good)):
+        for bad in (good[:i] + bytes([good[i] ^ 0x55]) + good[i + 1 :], good[:i]):
+            try:
+                got = [(r["head"], r["payload"]) for r in warc.read(io.BytesIO(bad))]
+            except ValueError:
+                continue
+            assert got == want[: len(got)]
+    for head in ({}, {"Content-Length": "x"}, {"Content-Length": "-1"}, {"Content-Length": 99}, {"Content-Length": 2, "WARC-Block-Digest": "sha1:AAAA"}):
+        with pytest.raises(ValueError):
+            list(warc.read(io.BytesIO(member(head, b"ab"))))
+    with pytest.raises(ValueError, match="do not end"):
+        list(warc.read(io.BytesIO(zlib.compress(b"WARC/1.1\r\nno end", wbits=31))))
+    bomb = member({"Content-Length": 5_000_000}, bytes(5_000_000))
+    with pytest.raises(ValueError, match="more than"):
+        list(warc.read(io.BytesIO(bomb), most=1_000_000))
+    assert len(next(warc.read(io.BytesIO(bomb)))["payload"]) == 5_000_000
+
+
 def test_language_id(spark, make):
     docs = documents(spark, "/root/testdata/sf0.01")
     model = langid.fit(docs, ~langid.held_out("id"), sample=600, steps=500)
@@ -177,6 +292,19 @@ def test_language_id(spark, make):
     assert kept.count() == len(ODD) - 4 and kept.columns == [*make([]).columns, "_said"]
 
 
+def test_language_id_learns_every_language(make, monkeypatch):
+    df = make([f"{chr(0x4E00 + i % 201) * 20} l{i % 201}" for i in range(201 * 6)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 201))
+    model = langid.fit(df, F.lit(True), steps=3)
+    assert len(model.languages) == 201 and langid.predict(df, model).filter("score between 0 and 1").count() == 201 * 6
+    monkeypatch.setattr(langid, "MOST_SAMPLE", 300)  # the bound on labelled rows leaves some of each
+    seen = {}
+    monkeypatch.setattr(langid.BiGru, "train", lambda self, windows, labels, **_: seen.update(rows=len(labels), kinds=len(set(labels.tolist()))) or self)
+    langid.fit(make([prose(i, 30) for i in range(600)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3)), F.lit(True))
+    assert seen["kinds"] == 3 and seen["rows"] <= 300 * 4
+    rows = langid.predict(make([(1, "abc")] * 3), model).collect()
+    assert len(rows) == 3 and len({tuple(r) for r in rows}) == 1
+
+
 def test_language_id_learns_nothing_or_one(make):
     none = langid.fit(make(["abc"]).withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert none is None and [tuple(r)[1:] for r in langid.predict(make(["abc"]), none).collect()] == [("und", 0.0)]
