@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before kept
 the last returns packed pieces. run() writes every stage as Parquet in the shared folder and reads it again.
 
 - language_id: learns from the stage's own labelled rows and drops documents without a letter (`und`) and those whose
-  language it can't tell at all (score below LEAST_SCORE). Where no row to learn from has a label, only those without a
+  language it can't tell (score below LEAST_CHANCE times what chance gives). Where no row to learn from has a label, only those without a
   letter go.
 - line_dedup: cuts blocks of lines that an earlier document has; a document that is a copy as a whole becomes empty.
 - near_dup: keeps the text of the least doc_id in each class of near-equal texts, the empty texts being one class.
@@ -24,12 +24,13 @@ from quillon.llm import langid, linededup, neardup, packing, secrets
 from quillon.llm.common import documents, fresh, scratch, written
 from quillon.llm.queries import TOKENIZER
 
-#: A document of any of the languages scores more; with L languages, 1 / L is chance.
-LEAST_SCORE = 0.3
+#: With L languages chance scores 1 / L; a document in any of them scores clearly more.
+LEAST_CHANCE = 1.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.known(docs, langid.fit(docs, ~langid.held_out("id")), LEAST_SCORE)
+    model = langid.fit(docs, ~langid.held_out("id"))
+    return langid.known(docs, model, min(1.0, LEAST_CHANCE / len(model.languages)) if model else 0.0)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
