@@ -184,7 +184,7 @@ def cuts(df: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 runs.append([{"a": a, "b": b} for a, b in united([r for one in met.values() for r in aligned(one)])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(runs, run_type)], ["doc_id", "th", "ranges"])
 
-    return held.groupBy("doc_id", "th").agg(F.collect_list("x").alias("shared")).mapInArrow(align, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>")
+    return held.groupBy("doc_id", "th").agg(F.collect_set("x").alias("shared")).mapInArrow(align, f"doc_id {kind}, th long, ranges array<struct<a:int,b:int>>")
 
 
 def dedup(df: DataFrame, block_words: int = BLOCK_WORDS, report: str | None = None) -> DataFrame:
