@@ -43,6 +43,15 @@ def test_a_line_in_every_document_makes_no_pairs_of_all(make):
     assert got[0] == texts[0] and all(hot not in got[i] for i in range(1, 300))
 
 
+def test_rows_that_repeat_a_document_send_its_windows_once(make):
+    passage, own = "\n".join(prose(40 + i, 12) for i in range(3)), prose(70, 9)
+    later = make([None, f"{own}\n{passage}"]).filter("doc_id = 1")
+    df = make([passage]).union(later.crossJoin(later.sparkSession.range(200)).select(later.columns))
+    ranges = linededup.cuts(df).collect()
+    assert len(ranges) == 1 and [tuple(x) for x in ranges[0]["ranges"]] == [(1, 3)]
+    assert Counter(r["text"] for r in linededup.dedup(df).collect()) == {passage: 1, own: 200}
+
+
 def plain_cut(texts):
     """The lines of each text that lie in a run of 5 words or more which any earlier text has as a run."""
     lines = [[x.strip() for x in t.split("\n")] for t in texts]
